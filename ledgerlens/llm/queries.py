@@ -35,6 +35,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+@query("op1_html_main_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.htmltext import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op2_jump_hash_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.sharding import shard_documents
@@ -42,6 +49,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.langid import fit_language_model, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_language_model(docs))
+
+
+@query("op8_quality_qda")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.quality import fit_quality_model, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.bpe import encode_documents
