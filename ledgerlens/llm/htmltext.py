@@ -216,7 +216,8 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     best, lo, hi, total, begin = 0.0, 0, 0, 0.0, 0
     for i, (_, kind, words, _) in enumerate(seen):
         if words:
-            score = weights.get(kind, 0.5) * words
+            unseen = -1.0 if ":outside" in kind else 0.5
+            score = weights.get(kind, weights.get(kind.removesuffix(":long"), unseen)) * words
         else:
             score = 0.0 if kind.startswith("word") else weights.get(kind, -0.1)
         if total <= 0:
