@@ -49,6 +49,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op4_odd_sketch_neardup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.langid import fit_language_model, identify
