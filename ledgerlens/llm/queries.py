@@ -64,6 +64,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_language_model(docs))
 
 
+@query("op7_hypergeometric_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.mixing import mix_documents
+
+    mix = mix_documents(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (mix["copies"] * mix["size"]).cast("long").alias("taken"))
+
+
 @query("op8_quality_qda")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.quality import fit_quality_model, score_documents
