@@ -80,8 +80,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op9_warc_capture_index")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+ORACLES["op9_warc_capture_index"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), m AS (
+  SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id <> m.last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id <> m.last THEN m.last END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000
+"""
