@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.arrowgroups import group_heads, whole_groups
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.textscan import LOWER, byte_view, mix64, slices, span_hashes, word_bounds
 from ledgerlens.session import materialize
@@ -132,41 +133,6 @@ def _scan(k: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole key groups, from batches sorted by ``keys``; small groups come many together."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for key in keys:
-            x = batch.column(key).to_numpy(zero_copy_only=False)
-            change[1:] |= x[1:] != x[:-1]
-            change[0] |= not held or held[-1].column(key)[-1].as_py() != x[0]
-        at = np.flatnonzero(change)
-        if len(at):
-            if at[-1] > 0:
-                held.append(batch.slice(0, at[-1]))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, rows = [batch.slice(at[-1])], batch.num_rows - at[-1]
-        else:
-            held.append(batch)
-            rows += batch.num_rows
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _group_heads(table: pa.Table, keys: list[str]) -> np.ndarray:
-    change = np.zeros(table.num_rows, bool)
-    change[0] = True
-    for key in keys:
-        x = table.column(key).to_numpy()
-        change[1:] |= x[1:] != x[:-1]
-    return np.append(np.flatnonzero(change), table.num_rows)
-
-
 def sketch_stars(ids: np.ndarray, odd: np.ndarray) -> list[tuple[int, int]]:
     """(smallest id, id) edges of the pieces connected by close odd sketches.
 
@@ -193,8 +159,8 @@ def sketch_stars(ids: np.ndarray, odd: np.ndarray) -> list[tuple[int, int]]:
 
 def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["key", "unit"]
-    for table in _grouped(batches, keys):
-        heads = _group_heads(table, keys)
+    for table in whole_groups(batches, keys):
+        heads = group_heads(table, keys)
         sizes = np.diff(heads)
         if (sizes < 2).all():
             continue
@@ -245,8 +211,8 @@ def _group_stars(k: int, percent: int):
     keys = ["group", "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, keys):
-            heads = _group_heads(table, keys)
+        for table in whole_groups(batches, keys):
+            heads = group_heads(table, keys)
             ids = table.column("doc_id").to_numpy()
             edges: list[tuple[int, int]] = []
             texts = table.column("text")

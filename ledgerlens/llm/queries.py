@@ -49,6 +49,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op3_multi_index_hashing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm.annsearch import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op4_odd_sketch_neardup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.neardup import near_duplicates
@@ -64,6 +73,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_language_model(docs))
 
 
+@query("op6_exact_code_search")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm.codesearch import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query("op7_hypergeometric_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.mixing import mix_documents
@@ -107,3 +125,16 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN d.page_id <> m.last THEN m.last END AS refers_to
 FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000
 """
+
+ORACLES["op6_exact_code_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
