@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -204,8 +205,6 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel | None, reject_below: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is found with enough confidence."""
-    import pandas as pd
-
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
