@@ -65,7 +65,7 @@ VIEWS: dict[str, str] = {
                     WHEN o_custkey % 9 = 2 THEN concat('3', lpad(CAST(o_custkey AS STRING), 13, '1'), '3')
                     ELSE concat('3', lpad(CAST(o_custkey AS STRING), 12, '1'), '03') END AS seller_trn,
                CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('3', lpad(CAST(o_orderkey AS STRING), 12, '2'), '0', CAST(3 + o_orderkey % 2 AS STRING)) END AS buyer_trn,
-               o_orderkey % 3 = 0 AS has_ubl, o_orderkey % 6 <> 0 AS has_icv, o_orderkey % 9 <> 0 AS has_pih,
+               o_orderkey % 4 < 2 AS has_ubl, o_orderkey % 6 <> 0 AS has_icv, o_orderkey % 9 <> 0 AS has_pih,
                CASE WHEN o_orderkey % 8 = 0 THEN CAST(CAST(s.line_sum * 1.15 AS DECIMAL(30,2)) AS STRING) END AS qr_total,
                CASE WHEN o_orderkey % 8 = 0 THEN CAST(CAST(s.line_sum * 0.15 AS DECIMAL(30,2)) AS STRING) END AS qr_vat,
                o_orderstatus, o_custkey, o_orderpriority
@@ -75,7 +75,7 @@ VIEWS: dict[str, str] = {
         SELECT annotation_id, field_key, CAST(NULL AS INT) AS row_index,
                CASE field_key WHEN 'invoice_number' THEN concat('INV-', CAST(annotation_id AS STRING))
                     WHEN 'issue_date' THEN CAST(CAST(created_at AS DATE) AS STRING)
-                    WHEN 'seller_name' THEN concat('Seller ', CAST(o_custkey AS STRING))
+                    WHEN 'seller_name' THEN CASE WHEN o_custkey % 10 = 0 THEN 'ÙÙØ³Ø' ELSE concat('Seller ', CAST(o_custkey AS STRING)) END
                     WHEN 'seller_trn' THEN seller_trn WHEN 'buyer_trn' THEN buyer_trn
                     WHEN 'subtotal' THEN CAST(subtotal AS STRING) WHEN 'vat_amount' THEN CAST(vat AS STRING)
                     WHEN 'total_amount' THEN CAST(total AS STRING) ELSE 'SAR' END AS value,
@@ -132,6 +132,12 @@ VIEWS: dict[str, str] = {
                concat(p_name, ' schema') AS name
         FROM {part}""",
     "queues": "SELECT DISTINCT p_brand AS id, concat('Queue ', p_brand) AS name FROM {part} WHERE p_brand <> 'Brand#7'",
+    # What an invoice's page prints: true amounts, and for some invoices shattered or whole Arabic words.
+    "page_texts": """
+        SELECT annotation_id, CASE WHEN annotation_id % 40 = 9 THEN '' ELSE concat('Invoice INV-', CAST(annotation_id AS STRING), ' Subtotal ', coalesce(CAST(subtotal AS STRING), '-'),
+               ' VAT ', coalesce(CAST(vat AS STRING), '-'), CASE WHEN annotation_id % 3 = 1 THEN concat(' Total ', coalesce(CAST(total AS STRING), '-'), '0') ELSE '' END,
+               CASE annotation_id % 50 WHEN 0 THEN concat(' ', repeat('م ', 30)) WHEN 1 THEN concat(' ', repeat('المشتري ', 30)) ELSE '' END) END AS page_text
+        FROM {inv_header}""",
     "specs": f"""
         SELECT field_key, CAST(position AS INT) AS position, label_en, label_ar, type, required FROM (VALUES
           ('invoice_number', 0, 'Invoice number', 'رقم الفاتورة', 'string', true), ('issue_date', 1, 'Issue date', 'تاريخ الإصدار', 'date', true),
