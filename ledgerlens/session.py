@@ -63,3 +63,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch between the JVM and Python workers; long texts make the default of 10,000 too many.
+ARROW_ROWS = 1000
+
+
+def bound_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Lower the session's Arrow batch length to ``rows`` (never raise it), so workers' memory is bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def arrow_pass(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` over batches of bounded length."""
+    bound_arrow_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
