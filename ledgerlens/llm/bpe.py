@@ -22,12 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ledgerlens.session import arrow_pass
+
 #: Fixed value: the byte-level pre-splitting pattern of the public vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: New words of a text slice that are encoded in one flat array.
-FLAT_WORDS = 50_000
+FLAT_WORDS = 20_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,7 +72,9 @@ class ByteBPE:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # Ids of known words as packed bytes: a fifth of the memory of tuples, and texts are joins of them.
+        self.packed = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.cache: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word, by merge rounds over one flat array of symbols."""
@@ -116,49 +120,39 @@ class ByteBPE:
         return np.split(symbols[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         for at in range(0, len(words), FLAT_WORDS):
             part = words[at : at + FLAT_WORDS]
             for w, ids in zip(part, self.encode_words(part), strict=True):
-                self.cache[w] = tuple(ids.tolist())
+                self.cache[w] = ids.astype(self.packed).tobytes()
+
+    def _words(self, text: str) -> list[bytes | str]:
+        """A text's words in order; an added special token is its packed id."""
+        if self.specials is None or not any(s in text for s in self.special):
+            return self.split(text)
+        own: list[bytes | str] = []
+        for piece in self.specials.split(text):
+            if piece in self.special:
+                own.append(np.array([self.special[piece]], self.packed).tobytes())
+            elif piece:
+                own.extend(self.split(piece))
+        return own
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; words new to the cache are merged together."""
-        parts: list[list[str | int]] = []
-        fresh: set[str] = set()
-        for text in texts:
-            own: list[str | int] = []
-            if self.specials is not None and any(s in text for s in self.special):
-                for piece in self.specials.split(text):
-                    if piece in self.special:
-                        own.append(self.special[piece])
-                    elif piece:
-                        own.extend(self.split(piece))
-            else:
-                own = self.split(text)
-            parts.append(own)
-            fresh.update(own)
-        words = [w for w in fresh if isinstance(w, str) and w not in self.cache]
-        if len(self.cache) + len(words) > CACHE_WORDS:  # what the slice needs is relearnt in full
+        parts = [self._words(text) for text in texts]
+        fresh = {w for own in parts for w in own if not isinstance(w, bytes)}
+        new = [w for w in fresh if w not in self.cache]
+        if len(self.cache) + len(new) > CACHE_WORDS:  # what these texts need is learnt anew, in full
             self.cache.clear()
-            words = [w for w in fresh if isinstance(w, str)]
-        self._learn(words)
+            new = list(fresh)
+        self._learn(new)
         known = self.cache
-        out = []
-        for own in parts:
-            ids: list[int] = []
-            for w in own:
-                if isinstance(w, str):
-                    ids += known[w]
-                else:
-                    ids.append(w)
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
+        joined = (b"".join([known[w] if isinstance(w, str) else w for w in own]) for own in parts)
+        return [np.frombuffer(x, self.packed).astype(np.uint32) for x in joined]
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
-        return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
+        return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
 _loaded: dict[str, ByteBPE] = {}
@@ -171,7 +165,7 @@ def load(path: str) -> ByteBPE:
     return _loaded[path]
 
 
-def _text_slices(texts: list[str | None], limit: int = 1 << 21) -> Iterator[list[str]]:
+def _text_slices(texts: list[str | None], limit: int = 1 << 19) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters together, or of one text."""
     run: list[str] = []
     held = 0
@@ -211,4 +205,4 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
                 at += len(texts)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return arrow_pass(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, schema)

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import arrow_pass
+
 # Element names of the HTML standard by their role.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -245,4 +247,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return arrow_pass(rows, run, "page_id long, url string, text string, n_chars long")

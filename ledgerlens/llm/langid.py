@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.textscan import byte_view, slices
+from ledgerlens.session import arrow_pass, bound_arrow_batches
 
 #: Hash buckets, embedding width, and the labelled texts per language that training reads (about).
 BUCKETS, WIDTH, PER_LANGUAGE = 1 << 14, 16, 400
@@ -200,11 +201,12 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text"
     )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return arrow_pass(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: LanguageModel | None, reject_below: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is found with enough confidence."""
+    bound_arrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

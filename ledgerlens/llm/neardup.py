@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.arrowgroups import group_heads, whole_groups
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.textscan import LOWER, byte_view, mix64, slices, span_hashes, word_bounds
-from ledgerlens.session import materialize
+from ledgerlens.session import arrow_pass, materialize
 
 BANDS, ROWS = 25, 5
 SAMPLES = BANDS * ROWS
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     list_schema = "doc_id long, n_shingles long, sig1 long, sig2 long, bands array<long>, odd array<long>"
-    scanned = materialize(texts.mapInArrow(_scan(k), list_schema), "shingles")
+    scanned = materialize(arrow_pass(texts, _scan(k), list_schema), "shingles")
 
     # Classes of equal sets; from here on one representative each.
     usable = scanned.where("n_shingles > 0 and doc_id is not null")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.langid import fold_of
 from ledgerlens.llm.textscan import byte_view, mix64, segment_sum, slices, span_hashes, word_bounds
+from ledgerlens.session import arrow_pass, bound_arrow_batches
 
 #: Labelled documents that training reads (about), and the score from which a document is kept.
 SAMPLE, THRESHOLD = 6000, 0.3
@@ -194,7 +195,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
                 [batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"]
             )
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").limit(4 * sample).collect()
+    got = arrow_pass(rows, run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").limit(4 * sample).collect()
     y = np.array([r["quality"] for r in got], dtype=np.int64)
     x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), N_FEATURES)
     model = train(x, y)
@@ -218,11 +219,12 @@ def score_documents(docs: DataFrame, model: QualityModel, threshold: float = THR
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text"
     )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_pass(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that score at least ``threshold``."""
+    bound_arrow_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

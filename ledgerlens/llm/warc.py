@@ -40,7 +40,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import materialize, scratch_path
+from ledgerlens.session import arrow_pass, materialize, scratch_path
 
 MIN_REVISIT = 1000
 #: Lines of an index block, and the level of compression.
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                 out.close()
 
     # Written at once: the rows that stay name the files of the attempts that counted.
-    return materialize(ready.mapInArrow(run, CAPTURES), "captures")
+    return materialize(arrow_pass(ready, run, CAPTURES), "captures")
 
 
 def write_index(captures: DataFrame, root: str, directory: str) -> None:
