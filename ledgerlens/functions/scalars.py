@@ -162,7 +162,7 @@ def label_present(labels: Column, text: Column) -> Column:
 def search_labels(label_en: Column, label_ar: Column, synonyms: Column) -> Column:
     """Labels to look for: as given, Arabic without its leading 'name' word, English before a bracket, synonyms."""
     shown = [label_en, label_ar, F.regexp_replace(label_ar, "^اسم ", ""), F.regexp_extract(label_en, r"^([^(]*)", 1)]
-    every = F.concat(F.array(*[F.trim(x) for x in shown]), F.coalesce(F.transform(synonyms, F.trim), F.array().cast("array<string>")))
+    every = F.concat(F.array(*[F.trim(x) for x in shown]), F.coalesce(F.transform(synonyms, lambda x: F.trim(x)), F.array().cast("array<string>")))
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != "")))
 
 
