@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.plans.catalog import op
-from ledgerlens.plans.projections import CATEGORY_SQL, BLOCKING_SQL, EFFECTIVE, LATEST_SQL, PROCESSED, PROVENANCE, blocking_counts, categorized, document_states, provenance
+from ledgerlens.plans.projections import CATEGORY_SQL, BLOCKING_SQL, effective, LATEST_SQL, PROCESSED, PROVENANCE, blocking_counts, categorized, document_states, provenance
 from ledgerlens.plans.relations import CORRECTED_SQL, PIVOT_SQL, REVIEWED, TOTALS_SQL, corrected_fields, finding_totals, header_pivot
 
 IN_PROCESSED = "st IN ('to_review','reviewing','confirmed','approved','exporting','exported','rejected')"
@@ -85,7 +85,7 @@ def ag_counts_ui(docs, annotations, findings):
 def ag_sources(fields):
     """Non-blank fields of each reader, zero-filled; human and rule sources aren't readers."""
     names = F.create_map(*[F.lit(x) for kv in (("ubl_xml", "xml"), ("qr", "qr"), ("vlm", "model"), ("computed", "computed")) for x in kv])
-    counts = fields.where(F.trim(EFFECTIVE) != "").groupBy(F.try_element_at(names, F.col("source")).alias("reader")).agg(F.count(F.lit(1)).alias("n"))
+    counts = fields.where(F.trim(effective()) != "").groupBy(F.try_element_at(names, F.col("source")).alias("reader")).agg(F.count(F.lit(1)).alias("n"))
     domain = fields.sparkSession.createDataFrame([("xml",), ("qr",), ("model",), ("computed",)], "reader string")
     return domain.join(counts, "reader", "left").fillna(0, ["n"])
 
@@ -132,7 +132,7 @@ def ag_warned_keys(findings):
   FROM {fields} f LEFT JOIN {specs} s ON s.field_key = f.field_key WHERE f.row_index IS NULL GROUP BY f.annotation_id""")
 def ag_any_usable(fields, specs):
     joined = fields.where("row_index IS NULL").join(F.broadcast(specs.select("field_key", "required")), "field_key", "left")
-    blank = F.coalesce(F.trim(EFFECTIVE), F.lit("")) == ""
+    blank = F.coalesce(F.trim(effective()), F.lit("")) == ""
     return joined.groupBy("annotation_id").agg(F.bool_or(F.col("bbox_page").isNotNull()).alias("any_usable"), F.bool_or(F.coalesce("required", F.lit(False)) & blank).alias("missing_required"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.layout import fuse_rows
 from ledgerlens.plans.catalog import op
-from ledgerlens.plans.projections import EFFECTIVE
+from ledgerlens.plans.projections import effective
 from ledgerlens.plans.relations import export_rows
 from ledgerlens.sources.decoders import decode_tlv, parse_jsonl, qr_payload, read_ground_truth, tlv_text, ubl_fields
 from ledgerlens.sources.sinks import csv_lines, json_text, upsert
@@ -119,7 +119,7 @@ def sink_xlsx_batch(fields, annotations):
     """The batch workbook's line sheet: a row per line, a column per key."""
     ready = annotations.where(F.col("status").isin("confirmed", "exported")).select(F.col("id").alias("annotation_id"))
     lines = fields.where("row_index IS NOT NULL").join(ready, "annotation_id", "left_semi")
-    return lines.groupBy("annotation_id", "row_index").pivot("field_key", ["quantity", "unit_price", "line_amount"]).agg(F.max(EFFECTIVE))
+    return lines.groupBy("annotation_id", "row_index").pivot("field_key", ["quantity", "unit_price", "line_amount"]).agg(F.max(effective()))
 
 
 @op("sink_upsert", "fields", oracle="SELECT annotation_id, field_key, row_index, CASE WHEN annotation_id % 3 = 0 THEN 'fresh' ELSE value_extracted END AS value FROM {fields} UNION ALL SELECT DISTINCT annotation_id, 'note', CAST(NULL AS INT), 'fresh' FROM {fields} WHERE annotation_id % 3 = 0")

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from ledgerlens.plans.bridge import AS_OF, STALLED_AFTER_S
 from ledgerlens.plans.catalog import op
 
-EFFECTIVE = F.coalesce("value_final", "value_extracted")
+
+
+def effective() -> Column:
+    """The value that counts: the reviewed one, else the extracted one."""
+    return F.coalesce("value_final", "value_extracted")
+
+
 PROCESSED = ("to_review", "reviewing", "confirmed", "approved", "exporting", "exported", "rejected")
 #: Statuses that a user sees as finished, and those shown as failed.
 CONFIRMED, FAILED_UI = ("confirmed", "approved", "exporting", "exported"), ("failed", "stalled", "rejected")
@@ -75,7 +81,7 @@ def src_delim(documents):
 
 @op("proj_effective", "fields", oracle="SELECT annotation_id, field_key, row_index, coalesce(value_final, value_extracted) AS value FROM {fields}")
 def proj_effective(fields):
-    return fields.select("annotation_id", "field_key", "row_index", EFFECTIVE.alias("value"))
+    return fields.select("annotation_id", "field_key", "row_index", effective().alias("value"))
 
 
 @op(
@@ -148,7 +154,7 @@ def proj_category(docs, annotations, findings):
       ON f.annotation_id = d.id WHERE contains(lower(coalesce(f.seller, '')), 'seller 1') OR contains(lower(coalesce(d.filename, '')), '#00000001')""",
 )
 def flt_search(docs, fields):
-    seller = fields.where("row_index IS NULL").groupBy("annotation_id").agg(F.max(F.when(F.col("field_key") == "seller_name", EFFECTIVE)).alias("seller"))
+    seller = fields.where("row_index IS NULL").groupBy("annotation_id").agg(F.max(F.when(F.col("field_key") == "seller_name", effective())).alias("seller"))
     has = lambda c, q: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q)
     joined = docs.join(seller, docs["id"] == seller["annotation_id"], "left")
     return joined.where(has("seller", "seller 1") | has("filename", "#00000001")).select("id", "filename")
@@ -216,9 +222,9 @@ def provenance() -> Column:
     """mismatch, verified, qr, human, then absent, derived or extracted."""
     source = F.col("source")
     return (
-        F.when((source == "ubl_xml") & F.coalesce(F.col("shadow_value") != EFFECTIVE, F.lit(False)), "mismatch")
+        F.when((source == "ubl_xml") & F.coalesce(F.col("shadow_value") != effective(), F.lit(False)), "mismatch")
         .when(source == "ubl_xml", "verified").when(source == "qr", "qr").when(source == "human", "human")
-        .when(EFFECTIVE.isNull(), "absent").when(source == "computed", "derived").otherwise("extracted")
+        .when(effective().isNull(), "absent").when(source == "computed", "derived").otherwise("extracted")
     )
 
 

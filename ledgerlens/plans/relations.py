@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.catalog import op
-from ledgerlens.plans.projections import EFFECTIVE, LATEST_SQL, document_states, latest_annotation
+from ledgerlens.plans.projections import effective, LATEST_SQL, document_states, latest_annotation
 
 REVIEWED = ("confirmed", "approved", "exporting", "exported")
 
@@ -60,7 +60,7 @@ HEADER = ("invoice_number", "seller_name", "total_amount", "currency")
 
 def header_pivot(fields, keys=HEADER):
     """One row per annotation: the greatest effective value of each header key."""
-    own = lambda k: F.max(F.when(F.col("field_key") == k, EFFECTIVE)).alias(k)
+    own = lambda k: F.max(F.when(F.col("field_key") == k, effective())).alias(k)
     return fields.where("row_index IS NULL").groupBy("annotation_id").agg(*map(own, keys))
 
 
@@ -98,7 +98,7 @@ def corrected_fields(fields, corrections):
     deleted = corrections.where("action = 'delete'").select("annotation_id", "field_key", "row_index").distinct().withColumn("deleted", F.lit(True)).alias("d")
     f = fields.alias("f")
     on = F.expr("d.annotation_id = f.annotation_id AND d.field_key = f.field_key AND d.row_index <=> f.row_index")
-    changed = ~EFFECTIVE.eqNullSafe(F.col("value_extracted"))
+    changed = ~effective().eqNullSafe(F.col("value_extracted"))
     return f.join(deleted, on, "left").select(
         "f.annotation_id", "f.field_key", "f.row_index", F.col("value_extracted").isNotNull().alias("had_value"), (changed | F.coalesce("deleted", F.lit(False))).alias("corrected")
     )
@@ -232,7 +232,7 @@ def export_rows(fields, annotations, specs, corrections):
     return joined.select(
         "f.annotation_id", F.when(header, "invoice").otherwise("line_item").alias("section"), "f.row_index", F.col("f.field_key").alias("key"),
         F.coalesce("label_en", F.lit("")).alias("label_en"), F.coalesce("label_ar", F.lit("")).alias("label_ar"), F.coalesce("type", F.lit("string")).alias("type"),
-        EFFECTIVE.alias("value"), "source", F.col("confidence").cast("string").alias("confidence"), "bbox_page",
+        effective().alias("value"), "source", F.col("confidence").cast("string").alias("confidence"), "bbox_page",
         F.when(F.col("known"), F.col("r.user_id")).otherwise(F.col("confirmed_by")).cast("string").alias("reviewed_by"),
         F.col("value_extracted").alias("original_value"), F.row_number().over(order).alias("position"),
     )

@@ -9,14 +9,14 @@ from ledgerlens.functions import scalars as S
 from ledgerlens.operators.messages import MESSAGES
 from ledgerlens.operators.rules import LINE, run_rules
 from ledgerlens.plans.catalog import op
-from ledgerlens.plans.projections import EFFECTIVE
+from ledgerlens.plans.projections import effective
 
 NUMERIC_KEYS = ("subtotal", "vat_amount", "total_amount")
 
 
 def context(inv_header: DataFrame, fields: DataFrame, inv_lines: DataFrame, page_texts: DataFrame, specs: DataFrame) -> DataFrame:
     """One wide row per invoice; each input is grouped by annotation once, so the joins share a partitioning."""
-    entry = F.struct(EFFECTIVE.alias("value"), "source", F.col("shadow_value").alias("shadow"))
+    entry = F.struct(effective().alias("value"), "source", F.col("shadow_value").alias("shadow"))
     cells = fields.where("row_index IS NULL").groupBy("annotation_id").agg(F.map_from_entries(F.collect_list(F.struct("field_key", entry))).alias("fields"))
     line = F.struct("row_index", "quantity", "unit_price", "line_amount")
     lines = inv_lines.groupBy("annotation_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
@@ -174,8 +174,8 @@ def subtotal_derivation(fields):
     """A model's subtotal that copies the total becomes total less VAT, as sure as the less sure of the two."""
     own = lambda k, c: F.max(F.when(F.col("field_key") == k, c))
     p = fields.where("row_index IS NULL").groupBy("annotation_id").agg(
-        S.to_decimal(own("subtotal", EFFECTIVE)).alias("s"), own("subtotal", F.col("source")).alias("src"), S.to_decimal(own("vat_amount", EFFECTIVE)).alias("v"),
-        S.to_decimal(own("total_amount", EFFECTIVE)).alias("t"), F.min(F.when(F.col("field_key").isin("vat_amount", "total_amount"), F.col("confidence"))).alias("c"),
+        S.to_decimal(own("subtotal", effective())).alias("s"), own("subtotal", F.col("source")).alias("src"), S.to_decimal(own("vat_amount", effective())).alias("v"),
+        S.to_decimal(own("total_amount", effective())).alias("t"), F.min(F.when(F.col("field_key").isin("vat_amount", "total_amount"), F.col("confidence"))).alias("c"),
     )
     derived = S.money(F.col("t") - F.col("v"))
     return p.where((F.col("src") == "vlm") & (F.col("s") == F.col("t")) & (F.col("v") > 0) & (derived > 0)).select("annotation_id", derived.cast("double").alias("derived"), F.col("c").cast("double").alias("confidence"))
@@ -188,7 +188,7 @@ def subtotal_derivation(fields):
 def silent_miss(fields, page_texts, specs):
     """A model's null is right only if the field's label isn't printed; a printed one asks for review."""
     wanted = specs.where(F.col("label_en").isin("Subtotal", "Issue date", "Invoice number")).select("field_key", "label_en")
-    null_rows = fields.where("row_index IS NULL AND source = 'vlm'").where(EFFECTIVE.isNull()).select("annotation_id", "field_key")
+    null_rows = fields.where("row_index IS NULL AND source = 'vlm'").where(effective().isNull()).select("annotation_id", "field_key")
     joined = null_rows.join(F.broadcast(wanted), "field_key").join(page_texts, "annotation_id")
     printed = S.label_present(F.array("label_en"), F.col("page_text")).isNotNull()
     return joined.select("annotation_id", "field_key", printed.alias("label_printed"), F.when(printed, "review_suggested").otherwise("auto_validated").alias("validation_state"))
