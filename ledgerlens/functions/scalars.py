@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ TRN = "^3[0-9]{13}3$"
 MONEY = "decimal(38,10)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def numerals(c: Column) -> Column:
     """Arabic-Indic and Eastern Arabic-Indic digits as ASCII digits."""
     return F.translate(c, ARABIC_DIGITS, ASCII_DIGITS)
@@ -129,16 +135,18 @@ def arabic_tokens(c: Column) -> Column:
 
 def fragment_ratios(c: Column) -> Column:
     """struct<single, article> shares of the Arabic tokens; null under 20 of them."""
-    tokens = arabic_tokens(c)
-    n = F.size(tokens)
-    single = F.size(F.filter(tokens, lambda t: F.length(t) == 1)) / n
-    article = F.size(F.filter(tokens, lambda t: t.startswith(DEFINITE_ARTICLE))) / n
-    return F.when(n >= 20, F.struct(single.alias("single"), article.alias("article")))
+
+    def shares(tokens: Column) -> Column:
+        n = F.size(tokens)
+        single = F.size(F.filter(tokens, lambda t: F.length(t) == 1)) / n
+        article = F.size(F.filter(tokens, lambda t: t.startswith(DEFINITE_ARTICLE))) / n
+        return F.when(n >= 20, F.struct(single.alias("single"), article.alias("article")))
+
+    return let(arabic_tokens(c), shares)
 
 
 def fragmented(c: Column) -> Column:
-    r = fragment_ratios(c)
-    return F.coalesce((r["single"] >= 0.25) & (r["article"] < 0.05), F.lit(False))
+    return F.coalesce(let(fragment_ratios(c), lambda r: (r["single"] >= 0.25) & (r["article"] < 0.05)), F.lit(False))
 
 
 def label_present(labels: Column, text: Column) -> Column:

@@ -81,7 +81,7 @@ def prepare(ctx: DataFrame) -> DataFrame:
     """The three amounts parsed once, and the match forms that the text rules share."""
     out = ctx.withColumns({f"__{k}": S.to_decimal(field(k)) for k in AMOUNTS})
     folded = F.lower(S.fold_orthography(S.collapse(S.numerals("page_text"))))
-    return out.withColumn("__haystack", F.coalesce(folded, F.lit("")))
+    return out.withColumn("__haystack", F.coalesce(folded, F.lit(""))).withColumn("__digits", S.digits(F.col("__haystack")))
 
 
 def _fold(c: Column) -> Column:
@@ -98,11 +98,14 @@ def _same_value(a: Column, b: Column, numeric: Column) -> Column:
 def line_total() -> Column:
     value = lambda x: F.coalesce((x["quantity"] * x["unit_price"]).cast("decimal(38,8)"), x["line_amount"].cast("decimal(38,8)"))
     usable = F.filter(F.transform("lines", value), lambda v: v.isNotNull())
-    zero = F.lit("0").cast("decimal(38,8)")
-    total = F.aggregate(usable, zero, lambda a, v: (a + v).cast("decimal(38,8)"))
-    subtotal = amount("subtotal")
-    found = _finding("LINE_TOTAL_MISMATCH", "subtotal", computed=S.money_text(total), subtotal=S.money_text(subtotal))
-    return _result((F.size(usable) > 0) & subtotal.isNotNull(), _one(~S.close_enough(total, subtotal), found))
+    zero, subtotal = F.lit("0").cast("decimal(38,8)"), amount("subtotal")
+
+    def judge(x: Column) -> Column:
+        found = _finding("LINE_TOTAL_MISMATCH", "subtotal", computed=S.money_text(x["total"]), subtotal=S.money_text(subtotal))
+        return _result((x["n"] > 0) & subtotal.isNotNull(), _one(~S.close_enough(x["total"], subtotal), found))
+
+    total = lambda u: F.aggregate(u, zero, lambda a, v: (a + v).cast("decimal(38,8)"))
+    return S.let(S.let(usable, lambda u: F.struct(F.size(u).alias("n"), total(u).alias("total"))), judge)
 
 
 @rule("LINE_ITEM_PRICE_MISMATCH")
@@ -122,7 +125,7 @@ def line_items() -> Column:
         )
         return F.when(~S.close_enough(expected, line["line_amount"].cast("decimal(38,8)")), found)
 
-    return _result(F.size(complete) > 0, F.transform(complete, judge))
+    return S.let(complete, lambda c: _result(F.size(c) > 0, F.transform(c, judge)))
 
 
 @rule("VAT_CALC_MISMATCH")
@@ -229,7 +232,7 @@ def xml_and_model() -> Column:
         key, value, shadow = e["key"], e["value"]["value"], e["value"]["shadow"]
         return F.when(~_same_value(value, shadow, F.array_contains("numeric_keys", key)), _finding("XML_PDF_MISMATCH", key, key=key, value=value, shadow=shadow))
 
-    return _result(F.size(_compared("ubl_xml")) > 0, F.transform(_compared("ubl_xml"), judge))
+    return S.let(_compared("ubl_xml"), lambda c: _result(F.size(c) > 0, F.transform(c, judge)))
 
 
 @rule("QR_MODEL_MISMATCH")
@@ -240,13 +243,12 @@ def qr_and_model() -> Column:
         text = (S.has_arabic(value) != S.has_arabic(shadow)) | _same_value(value, shadow, F.array_contains("numeric_keys", key))
         return F.when(~F.when(key == "issue_date", dates).otherwise(text), _finding("QR_MODEL_MISMATCH", key, key=key, value=value, shadow=shadow))
 
-    return _result(F.size(_compared("qr")) > 0, F.transform(_compared("qr"), judge))
+    return S.let(_compared("qr"), lambda c: _result(F.size(c) > 0, F.transform(c, judge)))
 
 
 @rule("OCR_SUBSTRING_MISSING")
 def printed_on_page() -> Column:
-    hay = F.col("__haystack")
-    page_numbers = S.numbers_in(hay)
+    hay, hay_digits = F.col("__haystack"), F.col("__digits")
 
     def needle(key: Column) -> Column:
         entry = F.try_element_at("fields", key)
@@ -255,14 +257,17 @@ def printed_on_page() -> Column:
 
     keys = F.filter(F.array_sort("numeric_keys"), lambda k: needle(k).isNotNull())
 
-    def judge(key: Column) -> Column:
-        own = needle(key)
+    def printed(own: Column) -> Column:
+        # Cheap tests first: the text, its digits; the page's numbers are parsed only for what is left.
         number = S.to_decimal(own)
-        # Cheap tests first: the text, its digits, the same number.
-        printed = hay.contains(own) | ((S.digits(own) != "") & S.digits(hay).contains(S.digits(own))) | F.coalesce(number.isNotNull() & F.array_contains(page_numbers, number), F.lit(False))
-        return F.when(~printed, _finding("OCR_SUBSTRING_MISSING", key, value=F.try_element_at("fields", key)["value"], key=key))
+        same_number = F.coalesce(number.isNotNull() & F.array_contains(S.numbers_in(hay), number), F.lit(False))
+        return F.when(hay.contains(own), True).when((S.digits(own) != "") & hay_digits.contains(S.digits(own)), True).otherwise(same_number)
+
+    def judge(key: Column) -> Column:
+        return F.when(~S.let(needle(key), printed), _finding("OCR_SUBSTRING_MISSING", key, value=F.try_element_at("fields", key)["value"], key=key))
 
-    return _result((F.trim(F.coalesce("page_text", F.lit(""))) != "") & (F.size(keys) > 0), F.transform(keys, judge))
+    has_text = F.trim(F.coalesce("page_text", F.lit(""))) != ""
+    return S.let(keys, lambda k: _result(has_text & (F.size(k) > 0), F.transform(k, judge)))
 
 
 @rule("ARABIC_ENCODING_SUSPECT")
@@ -280,9 +285,11 @@ def arabic_encoding() -> Column:
 
 @rule("TEXT_LAYER_FRAGMENTED")
 def fragmented() -> Column:
-    ratios = S.fragment_ratios(F.col("page_text"))
-    percent = F.concat(F.bround(ratios["single"] * 100, 0).cast("int").cast("string"), F.lit("%"))
-    return _result(ratios.isNotNull(), _one((ratios["single"] >= 0.25) & (ratios["article"] < 0.05), _finding("TEXT_LAYER_FRAGMENTED", None, single=percent)))
+    def judge(r: Column) -> Column:
+        percent = F.concat(F.bround(r["single"] * 100, 0).cast("int").cast("string"), F.lit("%"))
+        return _result(r.isNotNull(), _one((r["single"] >= 0.25) & (r["article"] < 0.05), _finding("TEXT_LAYER_FRAGMENTED", None, single=percent)))
+
+    return S.let(S.fragment_ratios(F.col("page_text")), judge)
 
 
 @rule("REQUIRED_FIELD_MISSING")
@@ -297,14 +304,17 @@ OUTCOME = "array<struct<rule_code:string,severity:string,passed:boolean,field_ke
 def _rows(code: str) -> Column:
     """A rule's result rows: none where it doesn't apply, one passed row, or its findings."""
     severity, ar, en, _, _ = MESSAGES[code]
-    found = _RULES[code]()
-    passed = F.size(found) == 0
     summary = F.array(F.struct(F.lit(None).cast("string").alias("field_key"), F.lit(ar).alias("message_ar"), F.lit(en).alias("message_en"))).cast(FINDING)
-    row = lambda x: F.struct(
-        F.lit(code).alias("rule_code"), F.lit(severity).alias("severity"), passed.alias("passed"),
-        x["field_key"].alias("field_key"), x["message_ar"].alias("message_ar"), x["message_en"].alias("message_en"),
-    )
-    return F.coalesce(F.transform(F.when(passed, summary).otherwise(found), row), F.array().cast(OUTCOME))
+
+    def rows(found: Column) -> Column:
+        passed = F.size(found) == 0
+        row = lambda x: F.struct(
+            F.lit(code).alias("rule_code"), F.lit(severity).alias("severity"), passed.alias("passed"),
+            x["field_key"].alias("field_key"), x["message_ar"].alias("message_ar"), x["message_en"].alias("message_en"),
+        )
+        return F.transform(F.when(passed, summary).otherwise(found), row)
+
+    return F.coalesce(S.let(_RULES[code](), rows), F.array().cast(OUTCOME))
 
 
 def run_rules(ctx: DataFrame, codes: list[str] | None = None) -> DataFrame:

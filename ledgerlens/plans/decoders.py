@@ -61,8 +61,8 @@ def _qr(inv_header):
 @op("sc_tlv", "inv_header", oracle="""SELECT annotation_id, ok, CASE WHEN ok THEN 'شركة ' || CAST(o_custkey AS VARCHAR) END AS seller, CASE WHEN ok THEN '310122393500003' END AS trn, CASE WHEN ok THEN 5::BIGINT END AS tags
   FROM (SELECT *, annotation_id % 5 <> 0 AND annotation_id % 7 <> 0 AS ok FROM {inv_header}) h""")
 def sc_tlv(inv_header):
-    items = decode_tlv(F.col("qr"))
-    return _qr(inv_header).select("annotation_id", items.isNotNull().alias("ok"), tlv_text(items, 1).alias("seller"), tlv_text(items, 2).alias("trn"), F.when(items.isNotNull(), F.size(items)).cast("long").alias("tags"))
+    items = F.col("items")
+    return _qr(inv_header).withColumn("items", decode_tlv(F.col("qr"))).select("annotation_id", items.isNotNull().alias("ok"), tlv_text(items, 1).alias("seller"), tlv_text(items, 2).alias("trn"), F.when(items.isNotNull(), F.size(items)).cast("long").alias("tags"))
 
 
 @op("sc_qr_payload", "inv_header", oracle="""SELECT annotation_id, strftime(created_at, '%Y-%m-%d') AS issue_date, coalesce(CAST(total AS VARCHAR), '1.00') AS total, coalesce(CAST(vat AS VARCHAR), '0.15') AS vat FROM {inv_header}

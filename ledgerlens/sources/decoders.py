@@ -30,7 +30,7 @@ def parse_ubl(xml: Column) -> Column:
     """The invoice struct; null for malformed XML or a document with a DOCTYPE (entities are never read)."""
     safe = F.when(~xml.rlike(r"(?i)<!DOCTYPE"), xml)
     parsed = F.from_xml(safe, UBL_SCHEMA, {"ignoreNamespace": "true", "rowTag": "Invoice"})
-    return F.when(parsed["_corrupt_record"].isNull(), parsed)
+    return S.let(parsed, lambda p: F.when(p["_corrupt_record"].isNull(), p))
 
 
 def ubl_fields(df: DataFrame, xml: str = "xml") -> DataFrame:
@@ -64,7 +64,11 @@ def decode_tlv(payload: Column) -> Column:
     steps as there are bytes reach the end. Truncated entries make it null.
     """
     text = F.trim(payload)
-    data = F.hex(F.when(text.rlike(_BASE64) & (text != ""), F.unbase64(text)))
+    return S.let(F.hex(F.when(text.rlike(_BASE64) & (text != ""), F.unbase64(text))), _fold_tlv)
+
+
+def _fold_tlv(data: Column) -> Column:
+    """The entries of a payload given in hex."""
     size = (F.length(data) / 2).cast("int")
     start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.array().cast(_ITEMS).alias("items"))
 
@@ -79,8 +83,8 @@ def decode_tlv(payload: Column) -> Column:
         moved = F.struct(F.when(good, end).otherwise(s["at"]).alias("at"), good.alias("ok"), F.when(good, F.concat(s["items"], F.array(item))).otherwise(s["items"]).alias("items"))
         return F.when(~s["ok"] | (s["at"] >= size), s).otherwise(moved)
 
-    end = F.aggregate(F.sequence(F.lit(0), F.greatest(size / 2, F.lit(1)).cast("int")), start, step)
-    return F.when(data.isNotNull() & end["ok"] & (end["at"] == size), end["items"])
+    steps = F.sequence(F.lit(0), F.greatest(size / 2, F.lit(1)).cast("int"))
+    return S.let(F.aggregate(steps, start, step), lambda end: F.when(data.isNotNull() & end["ok"] & (end["at"] == size), end["items"]))
 
 
 def tlv_text(items: Column, tag: int) -> Column:
@@ -91,8 +95,13 @@ def tlv_text(items: Column, tag: int) -> Column:
 
 def qr_payload(payload: Column) -> Column:
     """struct of a complete QR (five texts that aren't blank, both amounts numbers), else null."""
-    items = decode_tlv(payload)
-    text = {n: tlv_text(items, i) for i, n in enumerate(("seller_name", "seller_trn", "timestamp", "total", "vat"), 1)}
+    names = ("seller_name", "seller_trn", "timestamp", "total", "vat")
+    texts = S.let(decode_tlv(payload), lambda items: F.struct(*[tlv_text(items, i).alias(n) for i, n in enumerate(names, 1)]))
+    return S.let(texts, _complete_qr)
+
+
+def _complete_qr(t: Column) -> Column:
+    text = {n: t[n] for n in ("seller_name", "seller_trn", "timestamp", "total", "vat")}
     complete = F.lit(True)
     for c in text.values():
         complete = complete & (F.trim(F.coalesce(c, F.lit(""))) != "")
