@@ -8,7 +8,8 @@ from ledgerlens.operators.layout import fuse_rows
 from ledgerlens.plans.catalog import op
 from ledgerlens.plans.projections import effective
 from ledgerlens.plans.relations import export_rows
-from ledgerlens.sources.decoders import decode_tlv, parse_jsonl, qr_payload, read_ground_truth, tlv_text, ubl_fields
+from ledgerlens.functions.tokens import sign, verify
+from ledgerlens.sources.decoders import decode_tlv, parse_jsonl, pdf_attachments, qr_payload, read_ground_truth, tlv_text, ubl_fields
 from ledgerlens.sources.sinks import csv_lines, json_text, upsert
 
 
@@ -169,3 +170,26 @@ def ud_infer(documents):
             yield b.assign(reply=b["lang"])[["doc_id", "reply"]]
 
     return documents.select("doc_id", "lang").mapInPandas(chat, "doc_id long, reply string")
+
+
+@op("src_pdf_attach", "inv_header", oracle="SELECT CAST(annotation_id AS VARCHAR) AS path, annotation_id % 4 <> 3 AS attached FROM {inv_header}")
+def src_pdf_attach(inv_header):
+    """Files with an embedded invoice (every fourth has none); on a cluster the files come from the ``binaryFile`` source."""
+    pdf = F.concat(F.lit("%PDF-1.7\n1 0 obj<</Type /EmbeddedFile>>stream\n"), F.when(F.col("path").cast("long") % 4 == 3, "plain text").otherwise(F.col("xml")), F.lit("\nendstream endobj"))
+    files = _xml(inv_header).select(F.col("annotation_id").cast("string").alias("path"), F.replace("xml", F.lit("<!DOCTYPE"), F.lit("<?xml version='1.0'?><!DOCTYPE")).alias("xml"))
+    files = files.select("path", F.replace("xml", F.lit("<u:Invoice"), F.lit("<Invoice")).alias("xml"))
+    return pdf_attachments(files.select("path", pdf.cast("binary").alias("content"))).select("path", F.col("xml").isNotNull().alias("attached"))
+
+
+@op("sc_hmac_token", "docs", oracle="SELECT id, CASE WHEN id % 3 = 0 THEN filename END AS payload FROM {docs}")
+def sc_hmac_token(docs):
+    """Tokens signed and checked again: every third is good, the others are expired or tampered with."""
+    token = sign(b"secret", F.col("filename"), F.when(F.col("id") % 3 == 1, 5).otherwise(50))
+    sent = F.when(F.col("id") % 3 == 2, F.concat(F.lit("x"), F.col("token"))).otherwise(F.col("token"))
+    return docs.withColumn("token", token).select("id", verify(b"secret", sent, F.lit(10)).alias("payload"))
+
+
+@op("ud_prune", "specs", oracle="SELECT field_key FROM {specs}")
+def ud_prune(specs):
+    """The seam that could select a document's relevant fields; it keeps all of them."""
+    return specs.select("field_key")

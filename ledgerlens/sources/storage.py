@@ -1,0 +1,67 @@
+"""Blob storage by validated key, and zip archives read by ranges, on any pyarrow file system."""
+
+from __future__ import annotations
+
+import re
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+
+_KEY = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$")
+
+
+def check_key(key: str) -> str:
+    """The key, if it is relative, of safe characters and without a parent step; else ValueError."""
+    if not _KEY.match(key) or ".." in key.split("/"):
+        raise ValueError(f"unsafe storage key: {key!r}")
+    return key
+
+
+class Storage:
+    """put, get, exists and delete_prefix below a root URI."""
+
+    def __init__(self, root: str) -> None:
+        self.fs, self.root = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+
+    def _path(self, key: str) -> str:
+        return f"{self.root.rstrip('/')}/{check_key(key)}"
+
+    def put(self, key: str, body: bytes) -> None:
+        path = self._path(key)
+        self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with self.fs.open_output_stream(path, compression=None) as out:
+            out.write(body)
+
+    def get(self, key: str) -> bytes:
+        with self.fs.open_input_file(self._path(key)) as f:
+            return f.read()
+
+    def exists(self, key: str) -> bool:
+        return self.fs.get_file_info(self._path(key)).type != pafs.FileType.NotFound
+
+    def delete_prefix(self, key: str) -> None:
+        path = self._path(key)
+        if self.exists(key):
+            self.fs.delete_dir(path) if self.fs.get_file_info(path).type == pafs.FileType.Directory else self.fs.delete_file(path)
+
+
+def zip_entries(spark: SparkSession, uri: str, pattern: str, tasks: int = 8) -> DataFrame:
+    """name, content of a remote zip's entries whose names match; each task range-reads its own entries.
+
+    Only the archive's directory is read on the driver.
+    """
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+        names = [(i.filename,) for i in z.infolist() if re.fullmatch(pattern, i.filename)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_fs, own_path = pafs.FileSystem.from_uri(uri)
+            with own_fs.open_input_file(own_path) as f, zipfile.ZipFile(f) as z:
+                for name in batch.column("name").to_pylist():
+                    yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([z.read(name)], pa.binary())})
+
+    return spark.createDataFrame(names, "name string").repartition(tasks).mapInArrow(run, "name string, content binary")

@@ -6,6 +6,7 @@ import zlib
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.layout import fuse_page
@@ -133,3 +134,22 @@ def test_debounce(spark):
     ms = lambda x: NOW + timedelta(milliseconds=x)
     events = spark.createDataFrame([(1, 1, ms(0)), (1, 2, ms(700)), (1, 3, ms(1501)), (2, 4, ms(100))], "user_id long, event_id long, ts timestamp")
     assert sorted((r.user_id, r.edits, r.last_event) for r in debounced(events).collect()) == [(1, 1, 3), (1, 2, 2), (2, 1, 4)]
+
+
+def test_storage_and_zip_ranges(spark, tmp_path):
+    from ledgerlens.sources.storage import Storage, zip_entries
+
+    store = Storage(str(tmp_path))
+    store.put("org/1/a.bin", b"abc")
+    assert store.get("org/1/a.bin") == b"abc" and store.exists("org/1") and not store.exists("org/2")
+    store.delete_prefix("org/1")
+    assert not store.exists("org/1/a.bin")
+    for key in ("../x", "/etc/passwd", "a/../b", ""):
+        with pytest.raises(ValueError, match="unsafe"):
+            store.put(key, b"")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(5):
+            z.writestr(f"qa/{i}.json", f"{{{i}}}")
+        z.writestr("other.txt", "no")
+    got = zip_entries(spark, f"file://{tmp_path}/z.zip", r"qa/.*\.json").collect()
+    assert sorted((r.name, bytes(r.content).decode()) for r in got) == [(f"qa/{i}.json", f"{{{i}}}") for i in range(5)]
