@@ -44,7 +44,7 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, and the largest XOR population count that is still a candidate
 #: (an estimated similarity of 0.57).
 SKETCH_BITS, MAX_XOR = 256, 74
-BUCKET_ROWS, GROUP_ROWS, GROUP_SHINGLES = 8192, 4096, 2_000_000
+BUCKET_ROWS, GROUP_ROWS, GROUP_SHINGLES = 8192, 1024, 1_000_000
 
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
