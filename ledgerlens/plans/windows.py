@@ -120,7 +120,7 @@ def wn_ngrams(words):
 @op("wn_pairwise", "words", oracle="SELECT doc_id, pos, x0 - lag(x1) OVER (PARTITION BY doc_id, line ORDER BY x0, pos) AS gap FROM {words}")
 def wn_pairwise(words):
     w = W.partitionBy("doc_id", "line").orderBy("x0", "pos")
-    return words.select("doc_id", "pos", (F.col("x0") - F.lag("x1").over(w)).alias("gap"))
+    return words.select("doc_id", "pos", (F.col("x0") - F.lag("x1").over(w)).cast("long").alias("gap"))
 
 
 @op("wn_batch_coalesce", "corrections", oracle="""SELECT annotation_id, field_key, row_index, id, action, new_value FROM (

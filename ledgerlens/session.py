@@ -53,6 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/ledgerlens/{name}-{uuid.uuid4().hex}"
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables and archives below the shared folder; results not yet read are lost."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/ledgerlens")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
