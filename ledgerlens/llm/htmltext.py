@@ -64,21 +64,26 @@ _PARTS = regex.compile(r"[a-z]+")
 _RAW_END = {name: regex.compile(rf"</{name}(?=[\s/>])[^>]*+>?", regex.I) for name in RAW}
 
 
-def _is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
+#: Wrappers of whole pages; their marks tell of the layout, not of their content.
+WHOLE = frozenset("html body main".split())
+
+
+def _is_boilerplate(name: str, attrs: str, in_article: bool, marks: bool) -> bool:
     if name in BOILERPLATE or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "main", "p", "b", "i", "em", "strong") and name != "p":
+    if not marks or not attrs or name in WHOLE:
         return False
-    if attrs:
-        for m in _MARKED.finditer(attrs):
-            words = _PARTS.findall((m[1] or m[2] or m[3] or "").lower())
-            if any(w in MARKS for w in words):
+    for m in _MARKED.finditer(attrs):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = _PARTS.findall(token)
+            # "has-sidebar" or "no-nav" describe a page around its content.
+            if words and words[0] not in ("has", "with", "no", "without") and any(w in MARKS or (w == "header" and not in_article) for w in words):
                 return True
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[int, str, int, str]]:
-    """(offset, class, words, text) of the page's tokens, in order.
+def tokens(page: str, marks: bool = True) -> Iterator[tuple[int, str, int, str]]:
+    """(offset, class, words, text) of the page's tokens, in order; without ``marks`` only element names tell boilerplate.
 
     ``words`` is 0 for a tag; ``text`` is decoded text, or "\\n" where a block begins or ends.
     """
@@ -130,7 +135,7 @@ def tokens(page: str) -> Iterator[tuple[int, str, int, str]]:
                     if top == name:
                         break
         elif name not in VOID:
-            boiler = _is_boilerplate(name, m[3] or m[6] or "", bool(open_count["article"] or open_count["main"]))
+            boiler = _is_boilerplate(name, m[3] or m[6] or "", bool(open_count["article"] or open_count["main"]), marks)
             if boiler and not skip_depth:
                 yield end, "skip", 0, "\n" if block else " "
             stack.append((name, boiler))
@@ -214,7 +219,13 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     if not page:
         return ""
     weights = weights or default_weights()
-    seen = list(tokens(page))
+    # A wrapper that is marked like boilerplate would hide a whole page; then marks don't count.
+    return _region(page, weights, True) or _region(page, weights, False)
+
+
+def _region(page: str, weights: dict[str, float], marks: bool) -> str:
+    """The text of the page's best contiguous region."""
+    seen = list(tokens(page, marks))
     best, lo, hi, total, begin = 0.0, 0, 0, 0.0, 0
     for i, (_, kind, words, _) in enumerate(seen):
         if words:

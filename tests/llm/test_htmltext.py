@@ -30,6 +30,8 @@ CASES = {
     "<header>Site</header><article><p>a <b>b</b> c<br>d e</p></article><aside>more</aside><footer>&copy;</footer>": "a b c d e",
     "<div><ul><li><a href=/>Home</a></li></ul></div><div>" + "word " * 40 + "</div><div>Copyright us</div>": ("word " * 40).strip(),
     "<article><p>AT&ampT &am x</p><form>name</form><div role='alert'>note this</div></article>": "AT&T &am x",
+    "<body class='has-sidebar nav-open'><div class='layout no-sidebar'><div class='site-header'>Site name here</div><article><div class='entry-header'><h1>T</h1></div><p>hello my world</p></article></div>": "T\nhello my world",
+    "<div class='sidebar-layout'><article><p>all of it is inside here</p></article></div>": "all of it is inside here",
     "<article><style>p{}</style><p>x<!-- gone -->y</p></article>": "xy",
 }
 
