@@ -138,3 +138,48 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
+
+#: Shards by the published walk in wide integers, checksums by the usual table (reversed polynomial 0xEDB88320).
+ORACLES["op2_jump_hash_sharding"] = """
+WITH RECURSIVE walk(doc_id, key, pos, shard, grown) AS (
+  SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM documents
+  UNION ALL
+  SELECT doc_id, key, jump, CASE WHEN jump < 16 THEN jump ELSE shard END, CASE WHEN jump < 17 THEN jump ELSE grown END FROM (
+    SELECT doc_id, key, shard, grown, floor((pos + 1)::DOUBLE * (2147483648.0::DOUBLE / ((key // 8589934592)::BIGINT + 1)::DOUBLE))::BIGINT AS jump FROM (
+      SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key, pos, shard, grown FROM walk WHERE pos < 17) a) b
+), placed AS (
+  SELECT doc_id, shard::INTEGER AS shard, grown::INTEGER AS grown_shard FROM walk WHERE pos >= 17
+), crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, n) AS c FROM range(256) r(n)) x
+), hexed AS (
+  SELECT doc_id, text, hex(encode(text)) AS h, octet_length(encode(text)) AS bytes FROM documents
+), sized AS (
+  SELECT doc_id, coalesce(bytes, 0)::BIGINT + 1 AS size, CASE WHEN text IS NOT NULL THEN xor(4294967295::BIGINT, list_reduce(
+    list_transform(regexp_extract_all(h, '..'), lambda p: (strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1),
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295::BIGINT)) END AS text_crc32 FROM hexed, crc_table
+)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard, row_number() OVER (PARTITION BY p.shard ORDER BY s.doc_id, s.text_crc32, s.size) - 1 AS slot, p.grown_shard
+FROM sized s JOIN placed p ON p.doc_id = s.doc_id
+"""
+
+#: All pairs that share a shingle, and what is reachable over the links.
+ORACLES["op4_odd_sketch_neardup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(generate_series(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.k >= 80 * (x.n + y.n - c.k)
+), reach(id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least m ON m.id = d.doc_id
+"""

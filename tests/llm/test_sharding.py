@@ -46,3 +46,19 @@ def test_edges(odd_docs, no_docs):
 def test_native_plan(odd_docs):
     plan = shard_documents(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_oracles_agree(spark, sf_dir):
+    """The queries that SQL can express equal DuckDB's answer."""
+    import duckdb
+
+    from ledgerlens.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    assert set(ORACLES) <= set(QUERIES)
+    for name, sql in ORACLES.items():
+        relation = con.sql(sql)
+        rows = QUERIES[name](spark, sf_dir).select(*relation.columns).collect()
+        assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, relation.fetchall())), name
