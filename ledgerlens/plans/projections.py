@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.tenancy import TenantScope
 from ledgerlens.plans.bridge import AS_OF, STALLED_AFTER_S
 from ledgerlens.plans.catalog import op
 
@@ -446,3 +447,9 @@ def st_missing_offenders(annotations):
     judged = asked.join(annotations.select("id", "status"), "id", "left").select("id", verdict.alias("verdict"))
     total = judged.agg((F.count_if(F.col("verdict") != "ok") == 0).alias("batch_ok"))
     return judged.join(F.broadcast(total))
+
+
+@op("tenant_scope", "docs", oracle="SELECT id, filename FROM {docs} WHERE org_id = 'BUILDING'")
+def tenant_scope(docs):
+    """One tenant's documents through its scoped view."""
+    return TenantScope({"docs": docs}.__getitem__, "BUILDING").table("docs").select("id", "filename")
