@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,12 @@ from ledgerlens.session import arrow_pass
 
 #: Fixed value: the byte-level pre-splitting pattern of the public vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern over Latin-1 texts, whose letters, numbers and spaces can be spelt out; the plain engine is faster.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \\t\\n\\r\\f\\v\\x85\\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+NO_RANK = np.int64(1 << 40)
 #: Words a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: New words of a text slice that are encoded in one flat array.
 FLAT_WORDS = 20_000
 
@@ -40,6 +45,20 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+_split_any, _split_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
+
+
+def split_words(text: str) -> list[str]:
+    """A text's words by the vocabulary's pattern."""
+    if text.isascii():
+        return _split_latin(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _split_any(text)
+    return _split_latin(text)
+
+
 class ByteBPE:
     """A vocabulary of a ``tokenizers`` JSON file with a plain ByteLevel BPE model."""
 
@@ -70,85 +89,98 @@ class ByteBPE:
         keep[1:] = keys[order][1:] != keys[order][:-1]
         order = order[keep]
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # Ids of known words as packed bytes: a fifth of the memory of tuples, and texts are joins of them.
         self.packed = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by merge rounds over one flat array of symbols."""
+    def _pairs(self, symbols: np.ndarray, word: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table, rank) of the pairs that begin at ``where``; unknown ones and word ends rank last."""
+        pair = symbols[where] * self.base + symbols[where + 1]
+        at = np.searchsorted(self.keys, pair)
+        at[at == len(self.keys)] = 0
+        known = (self.keys[at] == pair) & (word[where] == word[where + 1])
+        return at, np.where(known, self.ranks[at], NO_RANK)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word, by merge rounds over one flat array of symbols.
+
+        A pair is looked up when it comes into being: all of them at first, later
+        those on either side of a merged symbol.
+        """
         raw = [w.encode() for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), sizes)
-        none = np.int64(1 << 40)
+        at, rank = np.zeros(len(symbols), np.int64), np.full(len(symbols), NO_RANK)
+        if len(symbols) > 1:
+            at[:-1], rank[:-1] = self._pairs(symbols, word, np.arange(len(symbols) - 1))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            pair = symbols[:-1] * self.base + symbols[1:]
-            at = np.searchsorted(self.keys, pair)
-            at[at == len(self.keys)] = 0
-            known = (self.keys[at] == pair) & (word[:-1] == word[1:])
-            rank = np.append(np.where(known, self.ranks[at], none), none)
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             lowest = np.minimum.reduceat(rank, heads)
             spans = np.diff(np.append(heads, len(symbols)))
-            live = np.repeat(lowest < none, spans)
-            if not live.all():  # words without a known pair leave the flat array
+            open_ = lowest < NO_RANK
+            if not open_.all():  # words without a known pair leave the flat array
+                live = np.repeat(open_, spans)
                 done.append((word[~live], symbols[~live]))
-                if not live.any():
+                if not open_.any():
                     break
-                at, rank, symbols, word = np.append(at, 0)[live], rank[live], symbols[live], word[live]
-                spans, lowest = spans[lowest < none], lowest[lowest < none]
-            else:
-                at = np.append(at, 0)
-            hit = rank == np.repeat(lowest, spans)
+                at, rank, symbols, word = at[live], rank[live], symbols[live], word[live]
+                spans, lowest = spans[open_], lowest[open_]
             # Overlapping hits (as in "aaa") merge from the left: every second of a run.
-            where = np.flatnonzero(hit)
+            where = np.flatnonzero(rank == np.repeat(lowest, spans))
             run = np.append(True, np.diff(where) > 1)
-            within = np.arange(len(where)) - np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
-            same = symbols[where] == symbols[np.minimum(where + 1, len(symbols) - 1)]
-            where = where[(within % 2 == 0) | ~same]
+            order = np.arange(len(where))
+            where = where[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]
             symbols[where] = self.made[at[where]]
             keep = np.ones(len(symbols), bool)
             keep[where + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols, word, at, rank = symbols[keep], word[keep], at[keep], rank[keep]
+            merged = where - np.arange(len(where))  # as so many symbols before it went
+            rank[merged] = NO_RANK
+            again = np.concatenate([merged, merged - 1])
+            again = again[(again >= 0) & (again + 1 < len(symbols))]
+            at[again], rank[again] = self._pairs(symbols, word, again)
         if not done:
-            return [np.zeros(0, np.int64)] * len(words)
-        word, symbols = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
-        order = np.argsort(word, kind="stable")
-        return np.split(symbols[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+            return [b""] * len(words)
+        word, symbols = np.concatenate([w for w, _ in done]), np.concatenate([x for _, x in done])
+        packed = symbols[np.argsort(word, kind="stable")].astype(self.packed).tobytes()
+        ends = (np.cumsum(np.bincount(word, minlength=len(words))) * self.packed.itemsize).tolist()
+        return [packed[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), FLAT_WORDS):
             part = words[at : at + FLAT_WORDS]
-            for w, ids in zip(part, self.encode_words(part), strict=True):
-                self.cache[w] = ids.astype(self.packed).tobytes()
+            self.cache.update(zip(part, self.encode_words(part), strict=True))
 
     def _words(self, text: str) -> list[bytes | str]:
         """A text's words in order; an added special token is its packed id."""
         if self.specials is None or not any(s in text for s in self.special):
-            return self.split(text)
+            return split_words(text)
         own: list[bytes | str] = []
         for piece in self.specials.split(text):
             if piece in self.special:
                 own.append(np.array([self.special[piece]], self.packed).tobytes())
             elif piece:
-                own.extend(self.split(piece))
+                own.extend(split_words(piece))
         return own
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; words new to the cache are merged together."""
         parts = [self._words(text) for text in texts]
-        fresh = {w for own in parts for w in own if not isinstance(w, bytes)}
+        fresh = set().union(*parts)
         new = [w for w in fresh if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:  # what these texts need is learnt anew, in full
             self.cache.clear()
             new = list(fresh)
+        special = [w for w in new if isinstance(w, bytes)]
+        if special:
+            self.cache.update(zip(special, special, strict=True))
+            new = [w for w in new if isinstance(w, str)]
         self._learn(new)
-        known = self.cache
-        joined = (b"".join([known[w] if isinstance(w, str) else w for w in own]) for own in parts)
-        return [np.frombuffer(x, self.packed).astype(np.uint32) for x in joined]
+        known = self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(known, own)), self.packed).astype(np.uint32) for own in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
