@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,20 +36,64 @@ def matchable(text: str | None) -> str | None:
     return None if text is None else canonical(text).translate(_LETTERS).casefold()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions / total length), by a bit-parallel longest common subsequence."""
-    if not a and not b:
-        return 100.0
+def common_with(a: str):
+    """A function of ``b``: the length of the longest common subsequence of ``a`` and ``b``, bit-parallel."""
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
     full = (1 << len(a)) - 1
-    state = full
-    for ch in b:
-        hit = state & masks.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & full
-    common = len(a) - state.bit_count()
-    return 200.0 * common / (len(a) + len(b))
+
+    def common(b: str) -> int:
+        state = full
+        for ch in b:
+            hit = state & masks.get(ch, 0)
+            state = ((state + hit) | (state - hit)) & full
+        return len(a) - state.bit_count()
+
+    return common
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """100 * (1 - insertions and deletions / total length)."""
+    if not a and not b:
+        return 100.0
+    return 200.0 * common_with(a)(b) / (len(a) + len(b))
+
+
+def best_window(value: str | None, forms: list[str]) -> tuple[float, int | None, int | None]:
+    """(indel ratio, start, words) of the window that is most like ``value``: the shortest, then first of the best.
+
+    ``forms`` are all words of a text, each in its ``matchable`` form. A window has at
+    most as many characters in common with the value as its words have one by one and a
+    space between each two, so windows are compared from the best such bound down, until
+    no bound reaches the best ratio found: the result is that of comparing all.
+    """
+    needle = matchable(value) or ""
+    top: tuple[float, int | None, int | None] = (0.0, None, None)
+    if not needle or not forms:
+        return top
+    common = common_with(needle)
+    known = {w: (common(w), len(w), 1 if w else 0) for w in set(forms)}
+    sums = np.zeros((len(forms) + 1, 3), np.int64)
+    np.cumsum(np.array([known[w] for w in forms], np.int64), axis=0, out=sums[1:])
+    bounds, starts, sizes = [], [], []
+    for n in range(1, min(len(needle.split()) + 2, 8, len(forms)) + 1):
+        shared, chars, full = (sums[n:] - sums[:-n]).T
+        at = np.flatnonzero(full)
+        gaps = full[at] - 1
+        bounds.append(200.0 * np.minimum(shared[at] + gaps, len(needle)) / (chars[at] + gaps + len(needle)))
+        starts.append(at)
+        sizes.append(np.full(len(at), n))
+    bound, start, size = (np.concatenate(x) for x in (bounds, starts, sizes))
+    for i in np.lexsort((start, size, -bound)):
+        if bound[i] <= 0 or bound[i] < top[0]:
+            break
+        at, n = int(start[i]), int(size[i])
+        found = " ".join(w for w in forms[at : at + n] if w)
+        score = 200.0 * common(found) / (len(found) + len(needle))
+        if score > top[0] or score == top[0] and top[1] is not None and (n, at) < (top[2], top[1]):
+            top = (score, at, n)
+    return top
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy
 from ledgerlens.functions import scalars as S
 from ledgerlens.plans.catalog import op
+from ledgerlens.session import arrow_pass
 
 AMOUNT_FIELDS, DATE_FIELDS, CODE_FIELDS = ("subtotal", "vat_amount", "total_amount"), ("issue_date",), ("invoice_number", "seller_trn", "buyer_trn")
 FUZZY_FROM, NEAR = 85.0, 0.75
@@ -192,6 +194,10 @@ def sc_sample(labels):
     return labels.sparkSession.createDataFrame([(i,) for i in choose_sample(ids, min(50, len(ids)), seed=0)], "doc_id long")
 
 
+#: Words whose comparing form a Python worker keeps.
+MAX_FORMS = 200_000
+
+
 def ground(values: DataFrame, words: DataFrame, cutoff: float = 85.0) -> DataFrame:
     """Each value's best matching window of words: doc_id, value, score, pos, n and its box.
 
@@ -200,33 +206,32 @@ def ground(values: DataFrame, words: DataFrame, cutoff: float = 85.0) -> DataFra
     is one group, so its words are grouped once and never joined with all windows.
     """
     per = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "x0", "x1"))).alias("ws"))
-
-    @F.pandas_udf("struct<score:double,pos:int,n:int,x0:double,x1:double>")
-    def best(value: pd.Series, ws: pd.Series) -> pd.DataFrame:
-        out = []
-        for v, w in zip(value, ws, strict=True):
-            needle = fuzzy.matchable(v) or ""
-            top = (0.0, None, None, None, None)
-            texts = [x["word"] for x in w] if w is not None else []
-            if needle:
-                for n in range(1, min(max(1, len(needle.split())) + 2, 8) + 1):
-                    for at in range(len(texts) - n + 1):
-                        found = fuzzy.matchable(" ".join(texts[at : at + n]))
-                        # A ratio can't reach the best so far if the lengths differ too much.
-                        if not found or 200.0 * min(len(found), len(needle)) / (len(found) + len(needle)) <= top[0]:
-                            continue
-                        score = fuzzy.indel_ratio(needle, found)
-                        if score > top[0]:
-                            part = w[at : at + n]
-                            top = (score, at, n, float(min(x["x0"] for x in part)), float(max(x["x1"] for x in part)))
-                        if score >= 100:
-                            break
-                    if top[0] >= 100:
-                        break
-            out.append(top if top[0] >= cutoff else (top[0], None, None, None, None))
-        return pd.DataFrame(out, columns=["score", "pos", "n", "x0", "x1"]).astype({"pos": "Int32", "n": "Int32"})
-
-    return values.join(per, "doc_id").select("doc_id", "value", best("value", "ws").alias("g")).select("doc_id", "value", "g.*")
+    types = (pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+    kind = values.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms: dict[str, str] = {}
+        for batch in batches:
+            found = []
+            for value, texts, x0, x1 in zip(*(batch.column(c) for c in ("value", "texts", "x0", "x1")), strict=True):
+                if len(forms) > MAX_FORMS:
+                    forms.clear()
+                words_of = texts.as_py()
+                for w in words_of:
+                    if w not in forms:
+                        forms[w] = fuzzy.matchable(w) or ""
+                score, at, n = fuzzy.best_window(value.as_py(), [forms[w] for w in words_of])
+                if at is None or score < cutoff:
+                    found.append((score, None, None, None, None))
+                else:
+                    left, right = (x.values.slice(at, n).to_pylist() for x in (x0, x1))
+                    found.append((score, at, n, float(min(left)), float(max(right))))
+            if found:
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("value"), *columns], names=["doc_id", "value", "score", "pos", "n", "x0", "x1"])
+
+    rows = values.join(per, "doc_id").select("doc_id", "value", F.col("ws.word").alias("texts"), F.col("ws.x0").alias("x0"), F.col("ws.x1").alias("x1"))
+    return arrow_pass(rows, run, f"doc_id {kind}, value string, score double, pos int, n int, x0 double, x1 double")
 
 
 @op("sc_ground", "documents", "words", oracle="""SELECT doc_id, value, 100.0::DOUBLE AS score, CAST(min(pos) AS INT) AS pos FROM (SELECT doc_id, word || ' ' || lead(word) OVER w AS value2, pos FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) g
