@@ -441,7 +441,7 @@ def st_flag_union(findings):
     (SELECT count(*) FROM j WHERE status IS NULL OR status NOT IN ('confirmed', 'exported')) = 0 AS batch_ok FROM j""")
 def st_missing_offenders(annotations):
     """All or nothing: every offender is named, and the batch is fine only without any."""
-    asked = annotations.where("id < 4000").select((F.col("id") * 7).alias("id")).distinct()
+    asked = annotations.select((F.col("id") * 7).alias("id")).distinct()
     status = F.col("status")
     verdict = F.when(status.isNull(), "missing").when(~status.isin("confirmed", "exported"), "not_confirmed").otherwise("ok")
     judged = asked.join(annotations.select("id", "status"), "id", "left").select("id", verdict.alias("verdict"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import fuzzy
 from ledgerlens.plans.catalog import load_all
 from ledgerlens.plans.evaluation import ground
+from ledgerlens.plans.projections import st_missing_offenders
 from ledgerlens.session import TABLES
 from test_oracles import plain
 
@@ -73,3 +74,9 @@ def test_grounding_compares_all_windows(spark, tmp_path):
     got = QUERIES["sc_fuzzy_ground"](spark, sf).first()
     assert (got.value, got.score, got.pos, got.n) == ("second third fourth", 100.0, 100, 3)
     assert ground(spark.createDataFrame([], "doc_id long, value string"), spark.createDataFrame([], "doc_id long, pos int, word string, x0 int, x1 int")).collect() == []
+
+
+def test_every_id_is_asked_for(spark):
+    rows = [(3999, "confirmed"), (4001, "confirmed"), (28007, "rejected")]
+    got = st_missing_offenders(spark.createDataFrame(rows, "id long, status string")).collect()
+    assert sorted(map(tuple, got)) == [(27993, "missing", False), (28007, "not_confirmed", False), (196049, "missing", False)]
