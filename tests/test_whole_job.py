@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import fuzzy
 from ledgerlens.plans.catalog import load_all
 from ledgerlens.plans.evaluation import ground
-from ledgerlens.plans.projections import st_missing_offenders
+from ledgerlens.plans.projections import so_batch_keys, st_missing_offenders
 from ledgerlens.session import TABLES
 from test_oracles import plain
 
@@ -80,3 +80,9 @@ def test_every_id_is_asked_for(spark):
     rows = [(3999, "confirmed"), (4001, "confirmed"), (28007, "rejected")]
     got = st_missing_offenders(spark.createDataFrame(rows, "id long, status string")).collect()
     assert sorted(map(tuple, got)) == [(27993, "missing", False), (28007, "not_confirmed", False), (196049, "missing", False)]
+
+
+def test_keys_of_every_annotation(spark):
+    fields = spark.createDataFrame([(1, "total"), (199, "late"), (200, "later"), (10**9, "last")], "annotation_id long, field_key string")
+    specs = spark.createDataFrame([("total", 6), ("last", 3)], "field_key string, position int")
+    assert sorted(map(tuple, so_batch_keys(fields, specs).collect())) == [("last", 3), ("late", 9), ("later", 9), ("total", 6)]
