@@ -239,9 +239,9 @@ def ag_shared_errors(outcomes):
 @op("ag_question_counts", "conversations", oracle="""SELECT question, n FROM (SELECT trim(regexp_replace(regexp_replace(lower(substr(text, 1, 24)), '[.,;:!?()]', ' ', 'g'), '\\s+', ' ', 'g')) AS question,
   count(DISTINCT conv_id) AS n FROM {conversations} WHERE role = 'user' GROUP BY ALL) q ORDER BY n DESC, question LIMIT 20""")
 def ag_question_counts(conversations):
-    """How many conversations ask each normalized opening, the twenty most frequent."""
-    opening = S.collapse(F.regexp_replace(F.lower(F.substring("text", 1, 24)), "[.,;:!?()]", " "))
-    asked = conversations.where("role = 'user'").groupBy(opening.alias("question")).agg(F.countDistinct("conv_id").alias("n"))
+    """How many conversations ask each normalized question, the twenty most frequent."""
+    question = S.collapse(F.regexp_replace(F.lower("text"), "[.,;:!?()]", " "))
+    asked = conversations.where("role = 'user'").groupBy(question.alias("question")).agg(F.countDistinct("conv_id").alias("n"))
     return asked.orderBy(F.desc("n"), "question").limit(20)
 
 

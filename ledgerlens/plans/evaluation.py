@@ -174,7 +174,7 @@ def sc_ground_truth(conversations):
     """Distinct answers per field, first seen first; an ambiguous field goes, except the receipt number."""
     k = F.col("turn") % 3
     asked = F.when(k == 0, "What is the store name?").when(k == 1, "What is the receipt number?").otherwise("Is it good?")
-    rows = conversations.select("conv_id", "turn", S.field_for(asked).alias("field"), F.substring("text", 1, 3).alias("answer")).where("field IS NOT NULL AND trim(answer) <> ''")
+    rows = conversations.select("conv_id", "turn", S.field_for(asked).alias("field"), F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("answer")).where("field IS NOT NULL AND answer <> ''")
     answers = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "answer"))), lambda x: x["answer"]))
     per = rows.groupBy("conv_id", "field").agg(answers.alias("answers"))
     return per.where((F.size("answers") == 1) | (F.col("field") == "invoice_number")).select("conv_id", "field", F.size("answers").cast("long").alias("n"))

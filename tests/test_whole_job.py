@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy
+from ledgerlens.plans.aggregates import ag_question_counts
 from ledgerlens.plans.catalog import load_all
-from ledgerlens.plans.evaluation import ground
+from ledgerlens.plans.evaluation import ground, sc_ground_truth
 from ledgerlens.plans.projections import so_batch_keys, st_missing_offenders
 from ledgerlens.session import TABLES
 from test_oracles import plain
@@ -86,3 +87,18 @@ def test_keys_of_every_annotation(spark):
     fields = spark.createDataFrame([(1, "total"), (199, "late"), (200, "later"), (10**9, "last")], "annotation_id long, field_key string")
     specs = spark.createDataFrame([("total", 6), ("last", 3)], "field_key string, position int")
     assert sorted(map(tuple, so_batch_keys(fields, specs).collect())) == [("last", 3), ("late", 9), ("later", 9), ("total", 6)]
+
+
+def test_whole_questions_and_answers(spark):
+    opening = "What is the name of the store"
+    said = [(1, 0, "user", f"{opening} at the top?"), (2, 0, "user", f"{opening}  at the Top"), (3, 0, "user", f"{opening} below?"), (3, 1, "assistant", "x")]
+    talks = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    assert list(map(tuple, ag_question_counts(talks).collect())) == [(f"{opening.lower()} at the top", 2), (f"{opening.lower()} below", 1)]
+    said = [(1, 0, "Acme one"), (1, 3, "Acme two"), (2, 0, " Acme one"), (2, 3, "Acme one\n"), (2, 6, "  "), (3, 1, "INV-1"), (3, 4, "INV-2")]
+    talks = spark.createDataFrame(said, "conv_id long, turn long, text string")
+    assert sorted(map(tuple, sc_ground_truth(talks).collect())) == [(2, "seller_name", 1), (3, "invoice_number", 2)]
+
+
+@pytest.mark.parametrize(("name", "cut", "whole"), [("ag_question_counts", "substr(text, 1, 24)", "text"), ("sc_ground_truth", "substr(text, 1, 3)", "text")])
+def test_whole_texts(spark, sf_dir, name, cut, whole):
+    same(QUERIES[name](spark, sf_dir), ORACLES[name].replace(cut, whole), sf_dir)
