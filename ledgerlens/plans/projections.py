@@ -401,17 +401,26 @@ def st_except(documents, labels):
     return documents.select("doc_id").join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti")
 
 
+def halves(text: str) -> list[Column]:
+    """The words of a whole text in two arrays; the first has one more if their number is odd."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    first = F.ceil(F.size(words) / 2).cast("int")
+    return [F.slice(words, 1, first), F.slice(words, first + 1, F.size(words) - first)]
+
+
 @op("st_intersect", "documents", oracle="SELECT a.doc_id FROM {documents} a WHERE len(list_intersect(string_split(substr(a.text, 1, 60), ' '), string_split(substr(a.text, 61, 60), ' '))) > 0")
 def st_intersect(documents):
-    halves = [F.split(F.substring("text", 1 + 60 * i, 60), " ") for i in (0, 1)]
-    return documents.where(F.arrays_overlap(*halves)).select("doc_id")
+    """Documents with a word in both halves of their text."""
+    return documents.where(F.arrays_overlap(*halves("text"))).select("doc_id")
 
 
 @op("st_subset", "documents", oracle="""SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS nested
   FROM (SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS a, string_split(substr(text, 1, 80), ' ') AS b FROM {documents}) t""")
 def st_subset(documents):
-    a, b = (F.split(F.substring("text", 1, n), " ") for n in (40, 80))
-    return documents.select("doc_id", ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)).alias("nested"))
+    """Whether the words of one half of a text all appear in the other; an empty half is in none."""
+    a, b = halves("text")
+    nested = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
+    return documents.select("doc_id", (nested & (F.size(b) > 0)).alias("nested"))
 
 
 @op("st_dedupe", "documents", oracle="""SELECT doc_id, word, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS nth FROM (

@@ -10,7 +10,7 @@ from ledgerlens.functions import fuzzy
 from ledgerlens.plans.aggregates import ag_question_counts
 from ledgerlens.plans.catalog import load_all
 from ledgerlens.plans.evaluation import ground, sc_ground_truth
-from ledgerlens.plans.projections import so_batch_keys, st_missing_offenders
+from ledgerlens.plans.projections import so_batch_keys, st_intersect, st_missing_offenders, st_subset
 from ledgerlens.session import TABLES
 from test_oracles import plain
 
@@ -102,3 +102,19 @@ def test_whole_questions_and_answers(spark):
 @pytest.mark.parametrize(("name", "cut", "whole"), [("ag_question_counts", "substr(text, 1, 24)", "text"), ("sc_ground_truth", "substr(text, 1, 3)", "text")])
 def test_whole_texts(spark, sf_dir, name, cut, whole):
     same(QUERIES[name](spark, sf_dir), ORACLES[name].replace(cut, whole), sf_dir)
+
+
+def test_sets_of_whole_texts(spark, sf_dir):
+    pad = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"]
+    texts = {-1: f"{pad[0]} late {pad[1]} late", -2: " ".join(pad), -3: "one", -4: "", -5: "a b\na  a", -6: f"{pad[0]} {pad[0]}"}
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = given.union(spark.createDataFrame(list(texts.items()), given.schema))
+    overlap, nested = set(), {}
+    for r in docs.collect():
+        words = r.text.split()
+        a, b = set(words[: (len(words) + 1) // 2]), set(words[(len(words) + 1) // 2 :])
+        if a & b:
+            overlap.add(r.doc_id)
+        nested[r.doc_id] = bool(a and b and (a <= b or b <= a))
+    assert {r.doc_id for r in st_intersect(docs).collect()} == overlap and {i for i in overlap if i < 0} == {-1, -5, -6}
+    assert {r.doc_id: r.nested for r in st_subset(docs).collect()} == nested and {i for i in texts if nested[i]} == {-5, -6}
