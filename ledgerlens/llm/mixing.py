@@ -26,7 +26,7 @@ hashes). Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -164,9 +164,22 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, .
     return placements.select("doc_id", "size", "source_size", "target", F.size("placements").alias("copies"), "placements", *carry)
 
 
+def shard_parts(spark: SparkSession, shards: int = SHARDS) -> int:
+    """Partitions of a shard: as many in all as the session shuffles to, or more."""
+    return -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+
+
 def mixed(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix as rows of ``docs``: every column, one row per copy taken."""
+    """The mix as rows of ``docs``: every column, one row per copy taken, shard after shard.
+
+    A shard is ``shard_parts`` partitions in a row, each a range of keys and ordered by them;
+    keys are hashes, so the ranges hold about the same number of copies.
+    """
     names = docs.columns
     packed = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in names]).alias("__row"))
     plan = mix_documents(packed, shards, weights, carry=("__row",))
-    return plan.select(F.explode("placements").alias("__copy"), "__row").select("__row.*")
+    copies = plan.select(F.explode("placements").alias("__copy"), "__row")
+    shard, key, parts = F.col("__copy.shard"), F.col("__copy.key"), shard_parts(docs.sparkSession, shards)
+    part = F.shiftright((F.shiftright(key, 40) + (1 << 23)) * parts, 24).cast("int")
+    dealt = copies.repartitionById(shards * parts, shard * parts + part)
+    return dealt.sortWithinPartitions("__copy.shard", "__copy.key").select("__row.*")

@@ -87,7 +87,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.mixing import mix_documents
 
     mix = mix_documents(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", (mix["copies"] * mix["size"]).cast("long").alias("taken"))
+    taken = (mix["copies"] * mix["size"]).cast("long").alias("taken")
+    # One entry per copy, in the same order.
+    shard, key = (mix[f"placements.{c}"].alias(c) for c in ("shard", "key"))
+    return mix.select("doc_id", "size", "source_size", "target", taken, shard, key)
 
 
 @query("op8_quality_qda")
