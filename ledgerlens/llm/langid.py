@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.textscan import byte_view, slices
@@ -30,8 +31,10 @@ from ledgerlens.session import arrow_pass, bound_arrow_batches
 
 #: Hash buckets, embedding width, and the labelled texts per language that training reads (about).
 BUCKETS, WIDTH, PER_LANGUAGE = 1 << 14, 16, 400
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGUAGES = 64
+#: Labelled texts that training reads in all (about): beyond 64 languages fewer of each, but one at least.
+MAX_TEXTS = 64 * PER_LANGUAGE
+#: With more languages the embeddings and the output layer are kept apart, as their product grows with the languages.
+FOLDED_LANGUAGES = 64
 EPOCHS, RATE = 8, 0.5
 
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -77,22 +80,24 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # bucket x language
+    table: np.ndarray  # bucket x language, or bucket x width with ``out``
     bias: np.ndarray
     temperature: float
+    out: np.ndarray | None = None  # width x language
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Calibrated probabilities, text x language."""
         grams, offs = subwords(data, offsets)
-        sums = np.empty((len(offs) - 1, len(self.languages)))
+        sums = np.empty((len(offs) - 1, self.table.shape[1]))
         counts = np.diff(offs)
         full = np.flatnonzero(counts)
-        for j in range(len(self.languages)):  # one flat gather per language keeps the arrays small
+        for j in range(self.table.shape[1]):  # one flat gather per column keeps the arrays small
             got = self.table[:, j].take(grams) if len(grams) else np.zeros(0, np.float32)
             sums[:, j] = 0
             if len(full):
                 sums[full, j] = np.add.reduceat(got, offs[:-1][full], dtype=np.float64)
-        logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
+        means = sums / np.maximum(counts, 1)[:, None]
+        logits = ((means if self.out is None else means @ self.out) + self.bias) / self.temperature
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         return p / p.sum(axis=1, keepdims=True)
@@ -103,7 +108,8 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel |
     if not texts:
         return None
     languages = sorted(set(langs))
-    y = np.array([languages.index(x) for x in langs])
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in langs])
     bags = []
     for text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
@@ -133,9 +139,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel |
             out -= rate * np.outer(hidden, p)
             bias -= 0.1 * rate * p
             emb[ids] -= (20 * rate) * np.outer(w, back)
-    model = LanguageModel(languages, emb @ out, bias.astype(np.float64), 1.0)
+    folded = k <= FOLDED_LANGUAGES
+    model = LanguageModel(languages, emb @ out if folded else emb, bias.astype(np.float64), 1.0, None if folded else out)
     held = check if len(check) >= 20 else fit
-    z = np.array([(bags[i][1] @ model.table[bags[i][0]] if len(bags[i][0]) else np.zeros(k)) + model.bias for i in held])
+    means = [bags[i][1] @ model.table[bags[i][0]] if len(bags[i][0]) else np.zeros(model.table.shape[1]) for i in held]
+    z = np.array([(m if folded else m @ out) + model.bias for m in means])
     best = np.inf
     for t in np.geomspace(0.05, 10, 60):  # temperature by held-back likelihood
         s = z / t
@@ -149,23 +157,28 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel |
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Train on about ``per_language`` texts of each language, drawn by hash.
 
-    Only rows with a language whose fold isn't 0 are read. The draw is a hash
-    threshold per language, so it needs no shuffle of texts; what reaches the
-    driver is bounded by twice ``per_language`` texts for each language.
+    Every language is learned: where they are many, fewer texts of each are drawn,
+    ``MAX_TEXTS`` in all or one of each. Only rows with a language whose fold isn't 0 are
+    read. The draw is a hash threshold per language that its least hash is never above,
+    so only texts drawn are shuffled; at most twice as many of a language as asked for
+    reach the driver.
     """
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 0, F.lit(True))
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).cast("double") / 1e6
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(share).alias("least")).collect()
     if not counts:
         return None
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).cast("double") / 1e6
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (share < min(1.0, per_language / row["count"])))
+    each = min(per_language, max(1, MAX_TEXTS // len(counts)))
+    drawn = [(r["lang"], min(1.0, each / r["count"]), r["least"]) for r in counts]
+    limits = docs.sparkSession.createDataFrame(drawn, "lang string, below double, least double")
+    sample = known.join(F.broadcast(limits), "lang").where((share < F.col("below")) | (share == F.col("least")))
     # Ordered, so that the bound (never reached in expectation) cuts the same rows each time.
-    sample = known.where(wanted).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_language * len(counts)).toPandas()
-    return train(sample["text"].tolist(), sample["lang"].tolist())
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    ranked = sample.withColumn("__n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("__n") <= 2 * each)
+    rows = ranked.orderBy(*order).select("text", "lang").toPandas()
+    return train(rows["text"].tolist(), rows["lang"].tolist())
 
 
 def predict_arrays(model: LanguageModel | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
