@@ -151,7 +151,8 @@ WITH RECURSIVE walk(doc_id, key, pos, shard, grown) AS (
     SELECT doc_id, key, shard, grown, floor((pos + 1)::DOUBLE * (2147483648.0::DOUBLE / ((key // 8589934592)::BIGINT + 1)::DOUBLE))::BIGINT AS jump FROM (
       SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key, pos, shard, grown FROM walk WHERE pos < 17) a) b
 ), placed AS (
-  SELECT doc_id, shard::INTEGER AS shard, grown::INTEGER AS grown_shard FROM walk WHERE pos >= 17
+  SELECT doc_id, shard::INTEGER AS shard, grown::INTEGER AS grown_shard,
+    (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END * 6364136223846793005) % 18446744073709551616 // 4294967296 AS place FROM walk WHERE pos >= 17
 ), crc_table AS (
   SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, n) AS c FROM range(256) r(n)) x
 ), hexed AS (
@@ -161,7 +162,7 @@ WITH RECURSIVE walk(doc_id, key, pos, shard, grown) AS (
     list_transform(regexp_extract_all(h, '..'), lambda p: (strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1),
     lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295::BIGINT)) END AS text_crc32 FROM hexed, crc_table
 )
-SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard, row_number() OVER (PARTITION BY p.shard ORDER BY s.doc_id, s.text_crc32, s.size) - 1 AS slot, p.grown_shard
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard, row_number() OVER (PARTITION BY p.shard ORDER BY p.place, s.doc_id, s.text_crc32, s.size) - 1 AS slot, p.grown_shard
 FROM sized s JOIN placed p ON p.doc_id = s.doc_id
 """
 

@@ -7,17 +7,23 @@ gives the shard for n and for n + 1, and a row moves only into the appended shar
 Law: ``key``. The 64-bit key is ``doc_id`` itself; shard = jump(doc_id, n).
 
 Edge cases: a null doc_id counts as key 0. A null text has size 1 and a null
-crc. Repeated rows are placed each on its own. An empty table gives an empty
-result. Other columns of the input are ignored, so clashing names do no harm.
+crc. Repeated rows get neighbouring slots, ties in the order are theirs only. Texts
+count whole at any length. An empty table gives an empty result. Other columns of the
+input are ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.session import materialize
+
 #: Multiplier of the published algorithm's linear congruential generator.
 LCG = 2862933555777941757
+#: Multiplier of the hash that orders a shard (another published generator's).
+ORDER = 6364136223846793005
 #: Rows that one slot window holds on average.
 ROWS_PER_CHUNK = 100_000
 
@@ -73,44 +79,53 @@ def jump_shards(key: Column, n: int) -> Column:
     return F.struct(end["shard"].cast("int").alias("shard"), end["grown"].cast("int").alias("grown"))
 
 
+def _times(hi: Column, lo: Column, factor: int) -> Column:
+    """The high 32 bits of key * factor mod 2**64, by limbs that never overflow a long."""
+    f = [F.lit((factor >> s) & 0xFFFF) for s in (0, 16, 32, 48)]
+    low = lo * f[0] + F.shiftleft((lo * f[1]).bitwiseAND(F.lit(0xFFFF)), 16)
+    high = F.shiftright(low, 32) + F.shiftright(lo * f[1], 16) + lo * f[2] + F.shiftleft((lo * f[3]).bitwiseAND(F.lit(0xFFFF)), 16)
+    high = high + hi * f[0] + F.shiftleft((hi * f[1]).bitwiseAND(F.lit(0xFFFF)), 16)
+    return high.bitwiseAND(F.lit(_MASK32))
+
+
+def place(key: Column) -> Column:
+    """A number below 2**32 that orders a shard's rows: multiplicative hashing of the key."""
+    key = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
+    return _times(F.shiftrightunsigned(key, 32), key.bitwiseAND(F.lit(_MASK32)), ORDER)
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 16, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    Slots count from 0 in each shard without a gap. No shard is numbered in one
-    task: rows fall by a hash into chunks of about ``rows_per_chunk``, are numbered
-    there, and each chunk starts where the earlier chunks of its shard end. The
-    table of chunk counts has rows / rows_per_chunk rows. Texts are not shuffled.
+    A shard's rows are in the order of (place, doc_id, crc, size), whatever their
+    number, and slots count from 0 in that order without a gap. No shard is numbered in one
+    task: ranges of places make chunks of about ``rows_per_chunk``, a chunk is numbered
+    alone and starts where the earlier chunks of its shard end. Repeated rows are
+    counted before they meet. The table of chunk counts has rows / rows_per_chunk rows.
+    Texts are scanned once and never shuffled.
     """
-    total = docs.count()
-    chunks = max(1, -(-total // (rows_per_chunk * n_shards)))
-    placed = (
+    seen = (
         docs.select(
-            F.col("doc_id"),
-            F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-            F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
-            jump_shards(F.col("doc_id"), n_shards).alias("j"),
-        )
-        .select(
             "doc_id",
-            (F.col("bytes") + 1).alias("size"),
-            "text_crc32",
-            F.col("j.shard").alias("shard"),
-            F.col("j.grown").alias("grown_shard"),
-            F.pmod(F.xxhash64("doc_id", "text_crc32", "bytes"), F.lit(chunks)).cast("int").alias("chunk"),
+            (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
+            F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
         )
+        .groupBy("doc_id", "size", "text_crc32")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
-    from pyspark.sql import Window as W
-
-    within = W.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")
-    if chunks == 1:
-        numbered = placed.withColumn("slot", (F.row_number().over(within) - 1).cast("long"))
-    else:
-        counts = placed.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("rows"))
-        before = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-        offsets = counts.select("shard", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-        numbered = (
-            placed.withColumn("at", F.row_number().over(within) - 1)
-            .join(offsets, ["shard", "chunk"])
-            .withColumn("slot", (F.col("at") + F.col("offset")).cast("long"))
-        )
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = materialize(seen.withColumn("j", jump_shards(F.col("doc_id"), n_shards)).withColumn("place", place(F.col("doc_id"))), "sharded")
+    total = rows.agg(F.sum("copies")).first()[0] or 0
+    chunks = max(1, -(-total // (rows_per_chunk * n_shards)))
+    chunk = F.shiftright(F.col("place") * F.lit(chunks), 32).cast("int")
+    placed = rows.select("doc_id", "size", "text_crc32", "copies", "place", F.col("j.shard").alias("shard"), F.col("j.grown").alias("grown_shard"), chunk.alias("chunk"))
+
+    counts = placed.groupBy("shard", "chunk").agg(F.sum("copies").alias("rows"))
+    earlier = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("shard", "chunk", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+    order = [F.asc_nulls_last(c) for c in ("place", "doc_id", "text_crc32", "size")]
+    within = W.partitionBy("shard", "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("copies").over(within), F.lit(0))
+    numbered = placed.withColumn("first", first).join(offsets, ["shard", "chunk"])
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    slots = numbered.select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("offset") + F.col("first")).alias("start"), at.alias("at"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard")

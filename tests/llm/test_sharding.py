@@ -17,6 +17,7 @@ def jump(key, n):
 def test_matches_the_published_algorithm(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
+    order = lambda r: ((r.doc_id * 6364136223846793005 % (1 << 64)) >> 32, r.doc_id, r.text_crc32, r.size)
     for per_chunk in (5, 100_000):
         rows = shard_documents(docs, 16, per_chunk).collect()
         assert len(rows) == len(texts)
@@ -25,8 +26,19 @@ def test_matches_the_published_algorithm(spark, sf_dir):
             assert (r.shard, r.grown_shard) == (jump(r.doc_id, 16), jump(r.doc_id, 17))
             assert r.grown_shard in (r.shard, 16)
             assert r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 1
-            slots.setdefault(r.shard, []).append(r.slot)
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+            slots.setdefault(r.shard, []).append(r)
+        # One law of slots at every size of chunks.
+        for own in slots.values():
+            assert [r.slot for r in sorted(own, key=order)] == list(range(len(own)))
+
+
+def test_repeated_rows_get_a_slot_each(spark):
+    docs = spark.createDataFrame([(7, "same")] * 300 + [(7, "other"), (None, None), (None, None)], "doc_id long, text string").repartition(7)
+    rows = shard_documents(docs, 4, 10).collect()
+    assert len(rows) == 303 and {(r.doc_id, r.shard, r.grown_shard) for r in rows} == {(7, jump(7, 4), jump(7, 5)), (None, 0, 0)}
+    for shard in {r.shard for r in rows}:
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
 
 
 def test_negative_and_large_keys(spark):
