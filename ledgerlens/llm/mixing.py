@@ -5,22 +5,25 @@ all words; no source's target exceeds ``MAX_REPEATS`` times its size, and the ex
 is shared again by weight until none does.
 
 Draw: a source whose target is r times its size takes every document floor(r)
-times, and draws documents for the rest. Its documents fall by a hash into blocks;
-blocks are permuted, and drawn whole in that order until the rest is reached; the
-block that crosses it is cut between two documents. Each pass over the documents
+times, and draws documents for the rest. Its documents fall by a hash into ``BLOCKS``
+blocks; blocks are permuted, and drawn whole in that order until the rest is reached;
+the block that crosses it is cut between two documents. Each pass over the documents
 (a whole copy or the rest) is a set of drawn blocks. A binary tree over the output
 shards splits every source's exact number of drawn blocks: at each node the left
 half's quotas come from a multivariate hypergeometric draw, so leaves hold exact
 quotas and the blocks of a pass are dealt to shards without overlap by rank.
 Inside a shard documents are ordered by a hash.
 
-Only per-source numbers reach the driver. Blocks hold about ``BLOCK_ROWS`` rows of
-one source, so a source with a third of all rows is many blocks.
+The table of blocks has at most ``BLOCKS`` rows per source at every size, so a source with
+a third of all rows is as many groups as any other, and no window is longer. Texts are
+scanned for their sizes, and once more where they are written; planning moves none.
+Sources are the origins of a corpus: their names and sums (not their rows) reach the driver.
 
-Edge cases: documents without words have size 0 and count as taken 0 words. An empty
+Edge cases: null, empty and blank texts have size 0 and count as taken 0 words. An empty
 table gives an empty result. Sources of size 0 have target 0. A null source is a
-source of its own. Repeated rows count each. Reruns give the same draw (seeded
-hashes). Other columns are ignored.
+source of its own. Texts are counted whole at any length. Repeated rows count each, and
+those of one doc_id, text and source are taken or left together. Ties can't be: keys are
+hashes of doc_id and text. Reruns give the same draw. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ from ledgerlens.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-BLOCK_ROWS = 256
+#: Blocks of a source (a power of two), and of a block's parts.
+BLOCKS = 1024
 SHARDS = 16
-#: Up to so many sources their numbers are broadcast.
-BROADCAST_SOURCES = 100_000
+#: Up to so many sources a table with a row for each is broadcast (at most 20 MB).
+BROADCAST_SOURCES = 20_000
 SEED = 29
 
 
@@ -85,83 +89,109 @@ def split_quotas(counts: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
     return out
 
 
-def mix_documents(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, placements (array of copy, shard, key), by row.
+def _read(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """Rows with their source and key, and the block and part that the key's hash gives."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), *more)
+    spot = F.xxhash64("key", F.lit(SEED))
+    part = lambda shift: F.shiftright(spot, shift).bitwiseAND(F.lit(BLOCKS - 1)).cast("int")
+    return keyed.withColumns({"block": part(0), "part": part(20)})
 
-    ``placements`` holds one entry per copy; ``key`` orders a shard's documents.
-    ``carry`` names further columns to keep (the texts, say).
+
+def _few(df: DataFrame, sources: int) -> DataFrame:
+    """A table with one row per source: broadcast where that is proven to be few."""
+    return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
+
+
+def _cuts(narrow: DataFrame, crossed: DataFrame, sources: int) -> DataFrame:
+    """source_no, cut_part, cut_key: the last part and key that a source's crossed block gives.
+
+    Two levels: the words of the block's parts find the part in which the rest ends, the words of
+    that part's keys the key, so no task orders more than a part of a block.
     """
-    spark = docs.sparkSession
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED), "text").alias("key"),
-        *carry,
-    )
-    narrow = materialize(sized, "sized") if not carry else sized
-    totals = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+    own = narrow.join(_few(crossed, sources), narrow["source"].eqNullSafe(crossed["c_source"]) & (F.col("block") == F.col("c_block")))
+    parts = own.groupBy("source_no", "part").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    order = W.partitionBy("source_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ended = parts.withColumn("ahead", F.coalesce(F.sum("words").over(order), F.lit(0))).where("ahead <= need AND ahead + words > need")
+    ended = ended.select(F.col("source_no").alias("p_source"), F.col("part").alias("cut_part"), "ahead")
+    inside = own.join(_few(ended, sources), (F.col("source_no") == F.col("p_source")) & (F.col("part") == F.col("cut_part")))
+    keys = inside.groupBy("source_no", "cut_part", "key").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("ahead").alias("ahead"))
+    order = W.partitionBy("source_no").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    # Nearest cut: a document is drawn if its middle lies before the rest's end.
+    middle = F.col("ahead") + F.coalesce(F.sum("words").over(order), F.lit(0)) + F.col("words") / 2
+    judged = keys.withColumn("drawn", middle <= F.col("need"))
+    return judged.groupBy("source_no", "cut_part").agg(F.max(F.when(F.col("drawn"), F.col("key"))).alias("cut_key"))
+
+
+def plan_mix(narrow: DataFrame, shards: int, weights: tuple[float, ...]) -> DataFrame:
+    """What becomes of each block: source, block, source_size, target, whole, drawn, cut_part, cut_key, shards.
+
+    ``drawn`` is 0 (not), 1 (all of it) or 2 (up to the cut); ``shards`` holds the shard of each pass
+    (0: the rest, 1..: whole copies), null where a pass doesn't take the block.
+    """
+    spark = narrow.sparkSession
+    blocks = materialize(narrow.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "blocks")
+    totals = blocks.groupBy("source").agg(F.sum("words").alias("size"), F.count(F.lit(1)).alias("blocks")).collect()
     totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = target_sizes([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))])
-    plan = []
+    plan, counts = [], np.array([r["blocks"] for r in totals], np.int64)
     for i, (r, t) in enumerate(zip(totals, goal, strict=True)):
         whole = min(MAX_REPEATS, int(t // r["size"])) if r["size"] else 0
-        rest = t - whole * r["size"]
-        plan.append((r["source"], i, int(r["size"]), float(t), whole, float(rest), max(1, -(-r["rows"] // BLOCK_ROWS))))
-    schema = "source string, source_no int, source_size long, target double, whole int, rest double, blocks long"
-    sources = spark.createDataFrame(plan, schema)
-
-    # One row per source: broadcast where that is few rows, so the join needs no shuffle of documents.
-    few = (lambda df: F.broadcast(df)) if len(plan) <= BROADCAST_SOURCES else (lambda df: df)
-    placed = narrow.join(few(sources), narrow["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")))
-    by_block = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
-    order = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(SEED)), "block")
-    ranked = by_block.select(
-        "source_no",
-        "block",
-        "whole",
-        "rest",
-        (F.row_number().over(order) - 1).cast("long").alias("rank"),
-        F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    # A block that begins before the rest is reached is drawn (the last one in part).
-    blocks = materialize(ranked.withColumn("drawn", (F.col("before") < F.col("rest")).cast("int")), "blocks")
-    drawn = {r["source_no"]: r for r in blocks.groupBy("source_no").agg(F.count(F.lit(1)).alias("n"), F.sum("drawn").alias("part")).collect()}
+        plan.append((r["source"], i, int(r["size"]), float(t), whole, float(t - whole * r["size"])))
+    sources = spark.createDataFrame(plan, "source string, source_no int, source_size long, target double, whole int, rest double").withColumnRenamed("source", "s_source")
 
-    # Passes: 0 is the rest, 1.. are whole copies; each has its own tree of quotas.
-    rows = []
+    named = blocks.join(_few(sources, len(plan)), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+    order = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(SEED)), "block")
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = named.withColumns({"rank": (F.row_number().over(order) - 1).cast("long"), "before": before})
+    # A block that begins before the rest is reached is drawn; one that goes beyond it is cut.
+    drawn = F.when(F.col("before") >= F.col("rest"), 0).when(F.col("before") + F.col("words") > F.col("rest"), 2).otherwise(1)
+    ranked = materialize(ranked.withColumn("drawn", drawn), "ranked")
+    crossed = ranked.where("drawn = 2").select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), "source_no", (F.col("rest") - F.col("before")).alias("need"))
+    cuts = materialize(_cuts(narrow, materialize(crossed, "crossed"), len(plan)), "cuts")
+    drawn_of = {r["source_no"]: r["n"] for r in ranked.where("drawn > 0").groupBy("source_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    # Every pass has its own tree of quotas; a block's shard is where its rank falls among its source's.
+    whole = np.array([p[4] for p in plan], np.int64)
+    ends = []
     for turn in range(MAX_REPEATS + 1):
-        counts = np.zeros(len(plan), np.int64)
-        for p in plan:
-            if p[1] in drawn:
-                counts[p[1]] = drawn[p[1]]["part"] if turn == 0 else (drawn[p[1]]["n"] if turn <= p[4] else 0)
-        ends = np.cumsum(split_quotas(counts, shards, SEED + turn), axis=0)
-        rows += [(s, turn, [int(x) for x in ends[:, s]]) for s in range(len(plan)) if counts[s]]
-    quotas = spark.createDataFrame(rows, "source_no int, turn int, ends array<long>").groupBy("source_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("turn", "ends"))).alias("ends")
-    )
-    shard_of = lambda turn: F.size(F.filter(F.col("ends")[turn], lambda e: e <= F.col("rank")))
-    dealt = blocks.join(few(quotas), "source_no", "left").select(
-        "source_no",
-        "block",
-        "before",
-        "drawn",
-        F.transform(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), lambda t: F.when((t == 0) & (F.col("drawn") == 1) | (t > 0) & (t <= F.col("whole")), shard_of(t))).alias("shards"),
-    )
-    inside = W.partitionBy("source_no", "block").orderBy("key", "doc_id", "size")
-    joined = placed.join(dealt, ["source_no", "block"])
-    joined = joined.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # Nearest cut: a document is drawn if its middle lies before the rest's end.
-    partly = (F.col("drawn") == 1) & (F.col("ahead") + F.col("size") / 2 <= F.col("rest"))
+        own = np.where(whole >= turn, counts, 0) if turn else np.array([drawn_of.get(i, 0) for i in range(len(plan))], np.int64)
+        ends.append(np.cumsum(split_quotas(own, shards, SEED + turn), axis=0))
+    quotas = spark.createDataFrame([(s, [ends[t][:, s].tolist() for t in range(MAX_REPEATS + 1)]) for s in range(len(plan))], "q_source int, ends array<array<long>>")
+    taken = lambda t: F.when((t == 0) & (F.col("drawn") > 0) | (t > 0) & (t <= F.col("whole")), F.size(F.filter(F.get("ends", t), lambda e: e <= F.col("rank"))))
+    dealt = ranked.join(_few(quotas, len(plan)), F.col("source_no") == F.col("q_source")).join(_few(cuts.withColumnRenamed("source_no", "k_source"), len(plan)), F.col("source_no") == F.col("k_source"), "left")
+    out = dealt.select(
+        F.col("source").alias("d_source"), F.col("block").alias("d_block"), "source_size", "target", "whole", "drawn", "cut_part", "cut_key",
+        F.transform(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), taken).alias("shards"),
+    )
+    return materialize(out, "dealt")
+
+
+def _place(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``rows`` with source_size, target and placements (array of copy, shard, key)."""
+    joined = rows.join(dealt, rows["source"].eqNullSafe(dealt["d_source"]) & (F.col("block") == F.col("d_block")))
+    upto = (F.col("part") < F.col("cut_part")) | (F.col("part") == F.col("cut_part")) & F.coalesce(F.col("key") <= F.col("cut_key"), F.lit(False))
+    rest = (F.col("drawn") == 1) | (F.col("drawn") == 2) & F.coalesce(upto, F.lit(False))
     copies = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), lambda t: (t == 0) & partly | (t > 0) & (t <= F.col("whole"))),
-        lambda t: F.struct(
-            t.alias("copy"), F.element_at("shards", t + 1).cast("int").alias("shard"), F.xxhash64("key", t).alias("key")
-        ),
+        F.filter(F.sequence(F.lit(0), F.lit(MAX_REPEATS)), lambda t: (t == 0) & rest | (t > 0) & (t <= F.col("whole"))),
+        lambda t: F.struct(t.alias("copy"), F.element_at("shards", t + 1).cast("int").alias("shard"), F.xxhash64("key", t).alias("key")),
     )
-    placements = joined.withColumn("placements", copies)
-    return placements.select("doc_id", "size", "source_size", "target", F.size("placements").alias("copies"), "placements", *carry)
+    return joined.withColumn("placements", copies)
+
+
+def _plan_of(docs: DataFrame, shards: int, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and keys (without texts), and the plan of their blocks."""
+    narrow = materialize(_read(docs, word_count(F.col("text")).alias("size")), "sized")
+    return narrow, plan_mix(narrow, shards, weights)
+
+
+def mix_documents(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target, copies, placements (array of copy, shard, key), by row.
+
+    ``placements`` holds one entry per copy; ``key`` orders a shard's documents.
+    """
+    placed = _place(*_plan_of(docs, shards, weights))
+    return placed.select("doc_id", "size", "source_size", "target", F.size("placements").alias("copies"), "placements")
 
 
 def shard_parts(spark: SparkSession, shards: int = SHARDS) -> int:
@@ -177,8 +207,9 @@ def mixed(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WE
     """
     names = docs.columns
     packed = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in names]).alias("__row"))
-    plan = mix_documents(packed, shards, weights, carry=("__row",))
-    copies = plan.select(F.explode("placements").alias("__copy"), "__row")
+    # Texts are read again and placed by their keys, so that planning moves none of them.
+    placed = _place(_read(packed, "__row"), _plan_of(docs, shards, weights)[1])
+    copies = placed.select(F.explode("placements").alias("__copy"), "__row")
     shard, key, parts = F.col("__copy.shard"), F.col("__copy.key"), shard_parts(docs.sparkSession, shards)
     part = F.shiftright((F.shiftright(key, 40) + (1 << 23)) * parts, 24).cast("int")
     dealt = copies.repartitionById(shards * parts, shard * parts + part)
