@@ -5,12 +5,15 @@ runs of non-letters folded to one space). Their embeddings are averaged and a
 linear softmax gives the language; both are trained by stochastic gradient descent
 in numpy on a bounded sample of labelled texts. As average and linear map commute,
 prediction needs only one table (bucket x language) of embedding times weights.
-A temperature fitted on a tenth of the sample calibrates the probabilities, and a
-text below ``reject_below`` (or without a letter) is rejected.
+A temperature fitted on a tenth of the sample calibrates the probabilities. ``identify``
+names a language for every text with a letter; ``accepted`` rejects texts whose
+calibrated probability is below ``reject_below``, and those without a letter.
 
 Edge cases: null text, empty text or a text without a letter: ``und``, score 0.
-No labelled row at all: every text is ``und`` with score 0. Texts are read whole
-at any length. Repeated rows count each. Other columns are ignored.
+No labelled row at all: every text is ``und`` with score 0. Of equally probable languages
+the first by name. A letter alone (too short for a subword) has the languages' prior.
+Texts are read whole at any length. Repeated rows count each. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from ledgerlens.session import arrow_pass, bound_arrow_batches
 
 #: Hash buckets, embedding width, and the labelled texts per language that training reads (about).
 BUCKETS, WIDTH, PER_LANGUAGE = 1 << 14, 16, 400
-#: Labelled texts that training reads in all (about): beyond 64 languages fewer of each, but one at least.
-MAX_TEXTS = 64 * PER_LANGUAGE
+#: Labelled texts that training reads in all (about): beyond 16 languages fewer of each, but one at least.
+MAX_TEXTS = 16 * PER_LANGUAGE
 #: With more languages the embeddings and the output layer are kept apart, as their product grows with the languages.
 FOLDED_LANGUAGES = 64
 EPOCHS, RATE = 8, 0.5
@@ -103,19 +106,22 @@ class LanguageModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel | None:
-    """Fit the model to labelled texts; None without any."""
-    if not texts:
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag_of(data: np.ndarray) -> Bag:
+    """A text's distinct buckets and their shares: all that training reads of it, at most ``BUCKETS`` numbers."""
+    ids, n = np.unique(subwords(data, np.array([0, len(data)]))[0], return_counts=True)
+    return ids, (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(bags: list[Bag], langs: list[str], seed: int = 7) -> LanguageModel | None:
+    """Fit the model to bags of labelled texts; None without any."""
+    if not bags:
         return None
     languages = sorted(set(langs))
     number = {x: i for i, x in enumerate(languages)}
     y = np.array([number[x] for x in langs])
-    bags = []
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        grams, _ = subwords(data, np.array([0, len(data)]))
-        ids, n = np.unique(grams, return_counts=True)
-        bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     k = len(languages)
     emb = (rng.standard_normal((BUCKETS, WIDTH)) * 0.05).astype(np.float32)
@@ -159,9 +165,9 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Lan
 
     Every language is learned: where they are many, fewer texts of each are drawn,
     ``MAX_TEXTS`` in all or one of each. Only rows with a language whose fold isn't 0 are
-    read. The draw is a hash threshold per language that its least hash is never above,
-    so only texts drawn are shuffled; at most twice as many of a language as asked for
-    reach the driver.
+    read. The draw is a hash threshold per language that its least hash is never above.
+    Executors make the drawn texts' bags; those (at most twice as many of a language as
+    asked for, ``BUCKETS`` numbers each at most) reach the driver, texts never do.
     """
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 0, F.lit(True))
@@ -173,12 +179,25 @@ def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Lan
     each = min(per_language, max(1, MAX_TEXTS // len(counts)))
     drawn = [(r["lang"], min(1.0, each / r["count"]), r["least"]) for r in counts]
     limits = docs.sparkSession.createDataFrame(drawn, "lang string, below double, least double")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
     sample = known.join(F.broadcast(limits), "lang").where((share < F.col("below")) | (share == F.col("least")))
+    sample = sample.select("lang", "text", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a bag at a time, so long texts don't add up
+                ids, weights = bag_of(byte_view(batch.column("text").slice(i, 1))[0])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("lang").slice(i, 1), batch.column("at").slice(i, 1), pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), pa.array([weights], pa.list_(pa.float32()))],
+                    names=["lang", "at", "ids", "weights"],
+                )
+
+    bags = arrow_pass(sample, run, "lang string, at struct<o0:long,o1:long,o2:long>, ids array<int>, weights array<float>")
     # Ordered, so that the bound (never reached in expectation) cuts the same rows each time.
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    ranked = sample.withColumn("__n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("__n") <= 2 * each)
-    rows = ranked.orderBy(*order).select("text", "lang").toPandas()
-    return train(rows["text"].tolist(), rows["lang"].tolist())
+    ranked = bags.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("at"))).where(F.col("n") <= 2 * each)
+    rows = ranked.orderBy("at").select("lang", "ids", "weights").toArrow()
+    column = lambda name: (x.values.to_numpy(zero_copy_only=False) for x in rows.column(name))
+    return train(list(zip(column("ids"), column("weights"), strict=True)), rows.column("lang").to_pylist())
 
 
 def predict_arrays(model: LanguageModel | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
