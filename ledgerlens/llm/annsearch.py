@@ -2,13 +2,12 @@
 
 Codes: the vectors' principal axes are rotated so that their signs lose least
 (iterative quantisation, fitted on a bounded sample); a code has a bit per axis.
-It is cut in ``SEGMENTS`` substrings, each indexed on its own: a row is kept once
-per substring, dealt by (substring, prefix of its key). By the pigeonhole principle
-a code within radius r of a query agrees with it in some substring up to that
-substring's share of r. So a query goes to the prefixes that such keys can have,
-probes the task's sorted keys there, keeps codes within r, and ranks them by the
-inner product of the original vectors in double precision. A pair that several
-substrings find is taken in the first of them only.
+Rows lie in blocks; in each block the codes are cut in ``SEGMENTS`` substrings and
+every substring has an index of its own (rows sorted by its key). By the pigeonhole
+principle a code within radius r of a query agrees with it in some substring up to that
+substring's share of r. So a query probes each index for the keys within that share,
+keeps the codes within r, and ranks them by the inner product of the original vectors
+in double precision.
 
 The radius isn't a constant: a bounded number of queries is searched exactly over
 all rows, and r is the distance that covers ``COVER`` of their neighbours' codes.
@@ -18,17 +17,18 @@ radius, so every query gets its k rows where there are so many.
 Equal vectors are searched as one; of their ids the smallest k + 1 can be in a
 result (ties go to smaller ids), so the others are never needed.
 
-Crowded prefixes are salted on both sides by counts (at most SEGMENTS * 2**16
-of them), so a task holds at most about ``TASK_ROWS`` rows and ``TASK_QUERIES`` queries.
+The query set is stated (a fraction of the rows), so this is a search in blocks: a grid
+of row blocks (bounded in bytes) and query blocks, a task for each. A vector travels once
+for each query block, a query once for each row block, and never once for each key probed.
 
-Edge cases: null, zero, null-holding or non-finite vectors and those whose width isn't
-the most frequent one take no part. Rows that repeat an id and vector count once.
-An empty table gives an empty result. Other columns are ignored.
+Edge cases: null, zero, null-holding or non-finite vectors take no part, nor those whose
+width isn't the most frequent one (an inner product with them isn't defined). Rows that
+repeat an id and vector count once. An empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.arrowgroups import group_heads, whole_groups
-from ledgerlens.llm.vectors import as_matrix, coded, modal_width, pack, top_rows, usable
+from ledgerlens.llm.vectors import as_matrix, coded, dealt_grid, modal_width, pack, top_rows, usable
 from ledgerlens.session import materialize
 
 #: Rows that fit the rotation, and queries that fit the radius over all rows.
@@ -46,7 +46,8 @@ SAMPLE, RADIUS_QUERIES = 8192, 64
 #: Share of the radius queries' true neighbours whose codes the radius covers.
 COVER = 0.975
 SEGMENTS, MAX_BITS = 4, 64
-TASK_ROWS, TASK_QUERIES = 32_768, 16_384
+#: Bytes of a row block's vectors, the least rows and the blocks that a small table is still cut in, and a query block's rows.
+BLOCK_BYTES, MIN_BLOCK, MIN_BLOCKS, QUERY_BLOCK = 64 << 20, 4096, 16, 1 << 16
 
 
 def fit_rotation(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -98,52 +99,67 @@ def _radius_sample(index: DataFrame, queries: np.ndarray, codes: np.ndarray, k:
     return got.withColumn("rank", rank).where(F.col("rank") <= k + 1).collect()
 
 
+class SubstringIndex:
+    """A block's rows by the key of every substring that a radius probes."""
+
+    def __init__(self, codes: np.ndarray, cuts: list[tuple[int, int]], radii: list[int]) -> None:
+        self.tables = []
+        for cut, radius in zip(cuts, radii, strict=True):
+            if radius >= 0:
+                key = self.segment(codes, cut)
+                order = np.argsort(key, kind="stable")
+                heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+                self.tables.append((cut, radius, order, key[order][heads], np.diff(np.append(heads, len(key)))))
+        self.codes = codes
+
+    @staticmethod
+    def segment(codes, cut: tuple[int, int]):
+        return ((codes >> np.uint64(cut[0])) & np.uint64((1 << cut[1]) - 1)).astype(np.uint32)
+
+    def within(self, code: np.uint64, radius: int) -> np.ndarray:
+        """All rows whose codes lie within ``radius`` of ``code``."""
+        found = np.zeros(len(self.codes), bool)
+        for cut, share, order, keys, sizes in self.tables:
+            probed = np.bitwise_count(keys ^ self.segment(code, cut)) <= share
+            found[order[np.repeat(probed, sizes)]] = True
+        rows = np.flatnonzero(found)
+        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
+
+
 def _search(cuts: list[tuple[int, int]], radii: list[int], radius: int, k: int, width: int):
-    keys = ["seg", "prefix", "salt", "qsalt"]
+    keys = ["block", "qblock"]
     fields = [("query", pa.int64()), ("row", pa.int64()), ("score", pa.float64())]
 
-    def one_group(table: pa.Table) -> list[tuple]:
-        kind = table.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-        if kind.all() or not kind.any():
-            return []
-        j = table.column("seg")[0].as_py()
-        shift, bits = cuts[j]
+    def one_group(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        asks = table.column("is_query").to_numpy().astype(bool)
+        if asks.all() or not asks.any():
+            return
         ids = table.column("vec_id").to_numpy()
-        codes = table.column("code").to_numpy().astype(np.int64).view(np.uint64)
+        codes = table.column("code").to_numpy().view(np.uint64)
         vectors = as_matrix(table.column("embedding"), width)
-        segment = lambda c, s: (c >> np.uint64(s[0])) & np.uint64((1 << s[1]) - 1)
-        order = np.argsort(segment(codes[~kind], (shift, bits)), kind="stable")
-        rows = np.flatnonzero(~kind)[order]
-        own, row_ids, row_vectors = codes[rows], ids[rows], vectors[rows]
-        key = segment(own, (shift, bits))
-        heads = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-        distinct, sizes = key[heads[:-1]], np.diff(heads)
+        index, row_ids, row_vectors = SubstringIndex(codes[~asks], cuts, radii), ids[~asks], vectors[~asks]
         out: list[tuple] = []
-        for q in np.flatnonzero(kind):
-            code, vector = codes[q], vectors[q].astype(np.float64)
-            probed = np.bitwise_count(distinct ^ segment(code, (shift, bits))) <= radii[j]
-            found = np.flatnonzero(np.repeat(probed, sizes))
-            differ = own[found] ^ code
-            good = np.bitwise_count(differ) <= radius
-            for earlier in range(j):  # found there already
-                if radii[earlier] >= 0:
-                    good &= np.bitwise_count(segment(differ, cuts[earlier])) > radii[earlier]
-            found = found[good]
-            if len(found):
-                score = row_vectors[found].astype(np.float64) @ vector
-                if len(found) > k:  # ties at the end stay, to be settled by id
-                    edge = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= edge], score[score >= edge]
-                best = np.lexsort((row_ids[found], -score))[:k]
-                out += zip([int(ids[q])] * len(best), row_ids[found[best]].tolist(), score[best].tolist(), strict=True)
-        return out
+        for q in np.flatnonzero(asks):
+            found = index.within(codes[q], radius)
+            if not len(found):
+                continue
+            score = row_vectors[found].astype(np.float64) @ vectors[q].astype(np.float64)
+            if len(found) > k:  # ties at the end stay, to be settled by id
+                edge = np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[score >= edge], score[score >= edge]
+            best = np.lexsort((row_ids[found], -score))[:k]
+            out += zip([int(ids[q])] * len(best), row_ids[found[best]].tolist(), score[best].tolist(), strict=True)
+            if len(out) > 100_000:
+                yield top_rows(fields, out)
+                out = []
+        if out:
+            yield top_rows(fields, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             heads = group_heads(table, keys)
             for lo, hi in zip(heads[:-1], heads[1:], strict=True):
-                if rows := one_group(table.slice(lo, hi - lo)):
-                    yield top_rows(fields, rows)
+                yield from one_group(table.slice(lo, hi - lo).combine_chunks())
 
     return run
 
@@ -151,39 +167,10 @@ def _search(cuts: list[tuple[int, int]], radii: list[int], radius: int, k: int,
 def _probe(index: DataFrame, queries: DataFrame, total: int, cuts: list, radius: int, k: int, width: int) -> DataFrame:
     """(query, row, score): each query's best k rows within ``radius`` of its code."""
     radii = segment_radii(radius, cuts)
-    narrowest = min(w for _, w in cuts)
-    p = min(narrowest, max(0, math.ceil(math.log2(max(1, total) / TASK_ROWS))))
-    prefixes = lambda: F.array(
-        *[F.struct(F.lit(j).alias("seg"), F.shiftrightunsigned("code", s).bitwiseAND(F.lit((1 << w) - 1)).alias("key"), F.lit(w - p).alias("low")) for j, (s, w) in enumerate(cuts) if radii[j] >= 0]
-    )
-    dealt = index.select("vec_id", "code", "embedding", F.explode(prefixes()).alias("s")).select(
-        "vec_id", "code", "embedding", "s.seg", F.expr("cast(shiftright(s.key, s.low) as int)").alias("prefix")
-    )
-    asked = queries.select("vec_id", "code", "embedding", F.explode(prefixes()).alias("s")).select(
-        "vec_id", "code", "embedding", "s.seg", F.expr("cast(shiftright(s.key, s.low) as int)").alias("own")
-    )
-    # The prefixes within a substring's radius, as masks: at most 2**p, mostly far fewer.
-    masks = [[m for m in range(1 << p) if m.bit_count() <= r] for r in radii]
-    mask_of = F.element_at(F.array(*[F.array(*[F.lit(m) for m in ms]) if ms else F.array().cast("array<int>") for ms in masks]), F.col("seg") + 1) if p <= 8 else None
-    if mask_of is None:  # many masks: a small table instead of literals
-        rows = [(j, m) for j, ms in enumerate(masks) for m in ms]
-        table = index.sparkSession.createDataFrame(rows, "seg int, mask int")
-        asked = asked.join(F.broadcast(table), "seg")
-    else:
-        asked = asked.withColumn("mask", F.explode(mask_of))
-    asked = asked.withColumn("prefix", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
-    n_rows = dealt.groupBy("seg", "prefix").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("salts"))
-    n_asked = asked.groupBy("seg", "prefix").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("qsalts"))
-    # At most SEGMENTS * 2**16 rows, whatever the data.
-    salts = F.broadcast(materialize(n_rows.join(n_asked, ["seg", "prefix"]), "salts"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    pick = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    left = dealt.join(salts, ["seg", "prefix"]).withColumn("salt", pick("salts")).withColumn("qsalt", every("qsalts"))
-    right = asked.join(salts, ["seg", "prefix"]).withColumn("qsalt", pick("qsalts")).withColumn("salt", every("salts"))
-    columns = ["seg", "prefix", "salt", "qsalt", "is_query", "vec_id", "code", "embedding"]
-    both = left.withColumn("is_query", F.lit(False)).select(columns).unionByName(right.withColumn("is_query", F.lit(True)).select(columns))
-    keys = ["seg", "prefix", "salt", "qsalt"]
-    found = both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(cuts, radii, radius, k, width), "query long, row long, score double")
+    rows = max(1, BLOCK_BYTES // (4 * width))
+    blocks = max(-(-total // rows), min(MIN_BLOCKS, -(-total // MIN_BLOCK)), 1)
+    qblocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = dealt_grid(index, queries, ["vec_id", "code", "embedding"], blocks, qblocks).mapInArrow(_search(cuts, radii, radius, k, width), "query long, row long, score double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 

@@ -13,8 +13,8 @@ Rows with the same code are searched as one; the smallest k + 1 of their ids
 can be in a result (ties go to smaller ids).
 
 Edge cases: as in the approximate search: null, zero, null-holding or non-finite vectors
-and those of another width than the most frequent take no part. Fewer other rows than
-k: all of them. An empty table gives an empty result. Other columns are ignored.
+and those of another width than the most frequent take no part. Rows that repeat an id and
+code count once. Fewer other rows than k: all of them. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.arrowgroups import group_heads, whole_groups
-from ledgerlens.llm.vectors import coded, modal_width, pack, top_rows, usable
+from ledgerlens.llm.vectors import coded, dealt_grid, modal_width, pack, top_rows, usable
 from ledgerlens.session import materialize
 
 SEGMENT_BITS = 16
@@ -109,7 +109,11 @@ def _answer(bits: int, words: int, k: int):
                 for q in np.flatnonzero(kind):
                     got, distance = index.nearest(codes[q], k)
                     rows += zip([int(ids[q])] * len(got), got.tolist(), distance.tolist(), strict=True)
-                yield top_rows(fields, rows)
+                    if len(rows) > 100_000:
+                        yield top_rows(fields, rows)
+                        rows = []
+                if rows:
+                    yield top_rows(fields, rows)
 
     return run
 
@@ -137,12 +141,7 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     blocks = max(-(-total // MAX_BLOCK), min(16, -(-total // MIN_BLOCK)), 1)
     qblocks = max(1, -(-n_asked // QUERY_BLOCK))
 
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = classes.select("vec_id", "code", F.lit(False).alias("is_query"), deal(blocks).alias("block"), every(qblocks).alias("qblock"))
-    right = asked.select("vec_id", "code", F.lit(True).alias("is_query"), deal(qblocks).alias("qblock"), every(blocks).alias("block"))
-    both = left.unionByName(right).repartition("block", "qblock").sortWithinPartitions("block", "qblock")
-    found = both.mapInArrow(_answer(bits, words, k + 1), "query long, row long, distance long")
+    found = dealt_grid(classes, asked, ["vec_id", "code"], blocks, qblocks).mapInArrow(_answer(bits, words, k + 1), "query long, row long, distance long")
 
     nearness = lambda key, tie: W.partitionBy(key).orderBy("distance", tie)
     found = found.withColumn("n", F.row_number().over(nearness("query", "row"))).where(F.col("n") <= k + 1).drop("n")

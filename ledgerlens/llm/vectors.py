@@ -72,3 +72,13 @@ def coded(rows: DataFrame, code, words: int, width: int) -> DataFrame:
             )
 
     return rows.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, code array<long>, k1 long, k2 long, embedding {schema}")
+
+
+def dealt_grid(rows: DataFrame, queries: DataFrame, columns: list[str], blocks: int, qblocks: int) -> DataFrame:
+    """Rows and queries (``is_query``) by a grid of blocks: a partition holds one (block, qblock), whatever AQE thinks of its size."""
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(*columns, F.lit(False).alias("is_query"), deal(blocks).alias("block"), every(qblocks).alias("qblock"))
+    right = queries.select(*columns, F.lit(True).alias("is_query"), deal(qblocks).alias("qblock"), every(blocks).alias("block"))
+    both = left.unionByName(right).repartitionById(blocks * qblocks, F.col("block") * qblocks + F.col("qblock"))
+    return both.sortWithinPartitions("block", "qblock")

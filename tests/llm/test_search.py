@@ -25,9 +25,9 @@ def vectors(spark):
 
 @pytest.mark.parametrize("small_tasks", [False, True])
 def test_recall(spark, vectors, monkeypatch, small_tasks):
-    if small_tasks:  # prefixes and salts on both sides
-        monkeypatch.setattr(annsearch, "TASK_ROWS", 40)
-        monkeypatch.setattr(annsearch, "TASK_QUERIES", 3)
+    if small_tasks:  # a grid of several blocks on both sides
+        monkeypatch.setattr(annsearch, "BLOCK_BYTES", 4 * 64 * 150)
+        monkeypatch.setattr(annsearch, "QUERY_BLOCK", 9)
     rows = vectors.orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
     want = exact(ids, x, [i for i in range(len(ids)) if ids[i] % 20 == 0], 20)
@@ -70,6 +70,19 @@ def test_pigeonhole_radii():
         assert sum(x + 1 for x in radii) >= min(r + 1, 64)  # a code that misses every substring differs in more than r bits
 
 
+def test_probing_finds_every_code_within_the_radius():
+    """Brute force over all codes, for all radii."""
+    rng = np.random.default_rng(8)
+    for bits in (64, 37, 5):
+        codes = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 400, dtype=np.uint64)
+        codes &= np.uint64((1 << bits) - 1)
+        cuts = segment_cuts(bits, min(4, bits))
+        for radius in (0, 1, 3, bits // 4, bits // 2, bits):
+            index = annsearch.SubstringIndex(codes, cuts, segment_radii(radius, cuts))
+            for q in codes[:20]:
+                assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
+
+
 def brute_codes(rows, k):
     ok = [(i, [x > 0 for x in v]) for i, v in rows if i is not None and v is not None and len(v) == 3 and None not in v and all(map(np.isfinite, v)) and any(v)]
     ok = sorted({i: c for i, c in ok}.items())
