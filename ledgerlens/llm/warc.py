@@ -4,12 +4,14 @@ Writing: every task writes one WARC 1.1 file of gzip members (one per record) in
 the shared folder, streaming, under a name of its own; the rows it returns name the
 file, so files of lost or repeated attempts are never referred to. Captures are then
 range-sorted by reversed-host key; each range becomes one index file of compressed
-blocks of ``BLOCK_LINES`` lines, and a sparse directory keeps each block's first
-key, file, offset and length.
+blocks of ``BLOCK_LINES`` lines, which ends in its own sparse directory: every block's first
+key, offset and length. A table of the index files (a row per range) names their
+first and last keys and where their directories are.
 
-Reading: look-ups are sorted by key and dealt in the same order. A task
-binary-searches the directory, range-reads and unpacks single blocks, finds its lines,
-range-reads the records and parses them.
+Reading: look-ups are sorted by key and dealt in the same order. A task opens the
+index files of its keys alone: it binary-searches the files, reads the one's directory, binary-searches
+that, range-reads and unpacks single blocks, finds its lines, range-reads the records
+and parses them.
 
 Duplicates: among payloads of at least ``MIN_REVISIT`` bytes with one SHA-1, the
 largest page_id is the response, the others are revisit records (identical payload)
@@ -18,7 +20,8 @@ without a payload.
 The files lie in ``spark.checkpoint.dir`` and are opened with pyarrow's file systems
 (local, HDFS, S3 by scheme).
 
-Edge cases: null html is an empty payload, a null url an empty one. Rows that repeat
+Edge cases: null html is an empty payload, a null url an empty one. Payloads are written
+whole at any length. Rows that repeat
 a page_id: equal ones are each written and read; of equal payloads with the same
 largest page_id all such rows are responses. An empty table gives an empty result.
 Other columns are ignored.
@@ -47,6 +50,8 @@ MIN_REVISIT = 1000
 BLOCK_LINES, LEVEL = 1000, 4
 #: Unpacked index blocks and open archives that a reading task keeps.
 KEEP_BLOCKS, KEEP_FILES = 4, 64
+#: Ways that the copies of one payload are dealt when they meet their response.
+SALTS = 16
 #: A fixed WARC-Date, so that archives are reproducible.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -108,7 +113,7 @@ def parse_record(member: bytes) -> dict[str, object]:
 
 
 CAPTURES = "urlkey string, page_id long, file string, offset long, length long, kind string, digest string"
-DIRECTORY = "first_key string, first_page long, file string, offset long, length long"
+INDEX_FILES = "first_key string, first_page long, last_key string, last_page long, file string, offset long, length long"
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
@@ -123,7 +128,10 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
         marked.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("digest", "last")
     )
-    ready = marked.join(materialize(repeated, "repeated"), "digest", "left").select("page_id", "url", "html", "digest", "size", "last")
+    repeated = materialize(repeated, "repeated").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Salted, so that a payload that a third of all pages share doesn't meet in one task.
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    ready = marked.join(repeated, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", "size", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at = f"{root}/archive-{uuid.uuid4().hex}.warc.gz", None, 0
@@ -155,86 +163,116 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     return materialize(arrow_pass(ready, run, CAPTURES), "captures")
 
 
+def _partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions, to be named where AQE would merge ranges of small rows that mean much work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_index(captures: DataFrame, root: str, directory: str) -> None:
-    """Sort captures by key into compressed blocks; writes the sparse directory as a table at ``directory``."""
+    """Sort captures by key into files of compressed blocks; writes the table of the files at ``directory``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, at, lines = f"{root}/index-{uuid.uuid4().hex}.cdx.gz", None, 0, []
-        entries: list[tuple] = []
+        name, out, at = f"{root}/index-{uuid.uuid4().hex}.cdx.gz", None, 0
+        lines: list[tuple] = []
+        blocks: list[tuple] = []
+        last: tuple = ()
 
-        def flush() -> None:
+        def put(rows: list[tuple]) -> int:
+            """Append rows as a compressed member; its length."""
             nonlocal out, at
             if out is None:
                 fs, path = filesystem(name)
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
-            block = gzip.compress("\n".join(json.dumps(x) for x in lines).encode(), LEVEL, mtime=0)
-            out.write(block)
-            entries.append((lines[0][0], lines[0][1], name, at, len(block)))
-            at += len(block)
+            member = gzip.compress("\n".join(json.dumps(x) for x in rows).encode(), LEVEL, mtime=0)
+            out.write(member)
+            at += len(member)
+            return len(member)
+
+        def flush() -> None:
+            begin = at
+            blocks.append((*lines[0][:2], begin, put(lines)))
             lines.clear()
 
         try:
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("urlkey", "page_id", "file", "offset", "length")), strict=True):
                     lines.append(row)
+                    last = row[:2]
                     if len(lines) == BLOCK_LINES:
                         flush()
             if lines:
                 flush()
+            if blocks:
+                begin = at
+                entry = (*blocks[0][:2], *last, name, begin, put(blocks))
         finally:
             if out is not None:
                 out.close()
-        if entries:
-            cols = list(zip(*entries, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
-                names=["first_key", "first_page", "file", "offset", "length"],
-            )
+        if blocks:
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(entry, types, strict=True)], names=["first_key", "first_page", "last_key", "last_page", "file", "offset", "length"])
 
     # page_id is part of the sort key, so one very common host or address still spreads over ranges.
-    spread = captures.repartitionByRange("urlkey", "page_id").sortWithinPartitions("urlkey", "page_id")
-    spread.mapInArrow(run, DIRECTORY).write.parquet(directory)
+    spread = captures.repartitionByRange(_partitions(captures), "urlkey", "page_id").sortWithinPartitions("urlkey", "page_id")
+    spread.mapInArrow(run, INDEX_FILES).write.parquet(directory)
+
+
+def _order(key: str, page: int | None) -> tuple[bytes, bool, int]:
+    """Spark's order of (urlkey, page_id): UTF-8 bytes, nulls first."""
+    return key.encode(), page is not None, page or 0
 
 
 class Directory:
-    """The sparse block directory as read by one task: sorted first keys."""
+    """The index files by their keys (a row per range), and the sparse directories of those in use."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, read) -> None:
         fs, at = filesystem(path)
         rows = ds.dataset(at, filesystem=fs, format="parquet").to_table().to_pylist()
-        self.rows = sorted(rows, key=lambda r: _order(r["first_key"], r["first_page"]))
-        self.keys = [_order(r["first_key"], r["first_page"]) for r in self.rows]
-
-    def blocks(self, key: str, page: int | None) -> Iterator[dict]:
-        """The blocks that may hold (key, page): the last that begins before it, and all that begin with it."""
+        self.files = sorted(rows, key=lambda r: _order(r["first_key"], r["first_page"]))
+        self.last = [_order(r["last_key"], r["last_page"]) for r in self.files]
+        self.read = read
+        self.held: dict[str, tuple[list, list]] = {}
+
+    def _blocks(self, file: dict) -> tuple[list, list]:
+        """(first keys, entries) of a file's blocks."""
+        name = file["file"]
+        if name not in self.held:
+            while len(self.held) >= KEEP_BLOCKS:
+                self.held.pop(next(iter(self.held)))
+            entries = [json.loads(x) for x in gzip.decompress(self.read(name, file["offset"], file["length"])).decode().split("\n")]
+            self.held[name] = [_order(*e[:2]) for e in entries], entries
+        return self.held[name]
+
+    def blocks(self, key: str, page: int | None) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the blocks that may hold (key, page)."""
         want = _order(key, page)
-        at = max(0, bisect.bisect_left(self.keys, want) - 1)
-        while at < len(self.rows) and self.keys[at] <= want:
-            yield self.rows[at]
+        at = bisect.bisect_left(self.last, want)
+        while at < len(self.files) and _order(self.files[at]["first_key"], self.files[at]["first_page"]) <= want:
+            keys, entries = self._blocks(self.files[at])
+            # The last block that begins before it, and all that begin with it.
+            i = max(0, bisect.bisect_left(keys, want) - 1)
+            while i < len(keys) and keys[i] <= want:
+                yield self.files[at]["file"], *entries[i][2:]
+                i += 1
             at += 1
 
 
-def _order(key: str, page: int | None) -> tuple[bytes, bool, int]:
-    """Spark's order of (urlkey, page_id): UTF-8 bytes, nulls first."""
-    return key.encode(), page is not None, page or 0
-
-
 class Archives:
     """Look-ups through a directory, with a few blocks and open archives at hand."""
 
     def __init__(self, directory: str) -> None:
-        self.directory = Directory(directory)
+        self.directory = Directory(directory, self._read)
         self.blocks: dict[tuple[str, int], dict] = {}
         self.files: dict[str, pa.NativeFile] = {}
 
-    def _block(self, entry: dict) -> dict:
-        place = (entry["file"], entry["offset"])
+    def _block(self, entry: tuple[str, int, int]) -> dict:
+        place = entry[:2]
         if place not in self.blocks:
             while len(self.blocks) >= KEEP_BLOCKS:
                 self.blocks.pop(next(iter(self.blocks)))
             lines: dict = {}
-            for line in gzip.decompress(self._read(*place, entry["length"])).decode().split("\n"):
+            for line in gzip.decompress(self._read(*entry)).decode().split("\n"):
                 key, page, *where = json.loads(line)
                 lines.setdefault((key, page), []).append(where)
             self.blocks[place] = lines
@@ -291,4 +329,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     write_index(captures, root, directory)
     # Asked in the order of the index, so a task's look-ups touch neighbouring blocks.
     wanted = captures.select("urlkey", "page_id").distinct()
-    return read_archives(wanted.repartitionByRange("urlkey", "page_id").sortWithinPartitions("urlkey", "page_id"), directory)
+    return read_archives(wanted.repartitionByRange(_partitions(wanted), "urlkey", "page_id").sortWithinPartitions("urlkey", "page_id"), directory)
