@@ -1,39 +1,14 @@
-"""Text forms and similarities that Catalyst has no expression for, as Arrow-batched UDFs."""
+"""Similarities that Catalyst has no expression for, as Arrow-batched UDFs."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import ALEF, ALEF_FAMILY, ALEF_MAKSURA, ARABIC_DIGITS, ASCII_DIGITS, HEH, TA_MARBUTA, YEH
-
-# Invisible characters, dashes, spaces and marks that the canonical form folds.
-_INVISIBLE = dict.fromkeys([*range(0x200B, 0x2010), *range(0x2060, 0x2070), 0xFEFF])
-_DASHES = dict.fromkeys([0x00AD, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2212], "-")
-_SPACES = dict.fromkeys([0x00A0, 0x2002, 0x2003, 0x2007, 0x2008, 0x2009, 0x202F, 0x205F, 0x3000], " ")
-_TATWEEL = {0x0640: None}
-_MARKS = dict.fromkeys([*range(0x064B, 0x0653), 0x0670, *range(0x06D6, 0x06EE)])
-_DIGITS = dict(zip(map(ord, ARABIC_DIGITS), ASCII_DIGITS, strict=True))
-_LETTERS = {ord(c): ALEF for c in ALEF_FAMILY} | {ord(ALEF_MAKSURA): YEH, ord(TA_MARBUTA): HEH}
-_FOLD = _INVISIBLE | _DASHES | _SPACES | _DIGITS | _TATWEEL
-
-
-def canonical(text: str | None, marks: bool = True) -> str | None:
-    """NFKC, invisible characters out, dashes, spaces and digits folded, white space single."""
-    if text is None:
-        return None
-    out = unicodedata.normalize("NFKC", text).translate(_FOLD | _MARKS if marks else _FOLD)
-    return re.sub(r"\s+", " ", out).strip()
-
-
-def matchable(text: str | None) -> str | None:
-    """The canonical form with interchangeable letters and case folded; for comparing only."""
-    return None if text is None else canonical(text).translate(_LETTERS).casefold()
+from ledgerlens.functions.folding import canonical_text as canonical
+from ledgerlens.functions.folding import match_text as matchable
 
 
 def common_with(a: str):
@@ -112,14 +87,6 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def _text_udf(f):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
-    return run
-
-
 def _pair_udf(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -128,14 +95,6 @@ def _pair_udf(f):
     return run
 
 
-def normalize(c: Column) -> Column:
-    return _text_udf(canonical)(c)
-
-
-def match_form(c: Column) -> Column:
-    return _text_udf(matchable)(c)
-
-
 def ratio(a: Column, b: Column) -> Column:
     return _pair_udf(indel_ratio)(a, b)
 

@@ -8,16 +8,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code points that the folding rules name.
-ARABIC_DIGITS = "".join(chr(c) for c in [*range(0x660, 0x66A), *range(0x6F0, 0x6FA)])
-ASCII_DIGITS = "0123456789" * 2
-ALEF_FAMILY, ALEF = "أإآ", "ا"
-ALEF_MAKSURA, YEH = "ى", "ي"
-TA_MARBUTA, HEH = "ة", "ه"
+from ledgerlens.functions.folding import ALEF, ALEF_FAMILY, ALEF_MAKSURA, ARABIC_DIGITS, ASCII_DIGITS, HEH, TA_MARBUTA, YEH, canonical, match_form, match_text
+
+# The ranges of Arabic letters and shaped glyphs, and what tells words of it apart.
 ARABIC = r"[\u0600-\u06FF\uFB50-\uFDFF\uFE70-\uFEFF]"
 PRESENTATION = r"[\uFB50-\uFDFF\uFE70-\uFEFF]"
 DEFINITE_ARTICLE = "ال"
 PLURAL_ENDINGS = ("ات", "ون", "ين", "ان")
+#: Fixed value: a number as a page prints it, with thousands separators and a fraction, Arabic ones included.
+PRINTED_NUMBER = r"\d[\d,٬]*(?:[.٫]\d+)?"
 #: Money and tax constants.
 CENT, VAT_STANDARD, SIMPLIFIED_FROM = "0.01", "15", "1000"
 VAT_CATEGORIES = ("S", "Z", "E", "O")
@@ -119,7 +118,7 @@ def digits(c: Column) -> Column:
 
 def numbers_in(c: Column) -> Column:
     """The distinct numbers printed in a text."""
-    found = F.regexp_extract_all(c, F.lit(r"([0-9][0-9,٬]*(?:[.٫][0-9]+)?)"), 1)
+    found = F.regexp_extract_all(c, F.lit(PRINTED_NUMBER), 0)
     return F.array_distinct(F.filter(F.transform(found, to_decimal), lambda x: x.isNotNull()))
 
 
@@ -152,11 +151,11 @@ def fragmented(c: Column) -> Column:
 def label_present(labels: Column, text: Column) -> Column:
     """The first label (in the array's order) that the text has, not as part of a plural.
 
-    ``text`` and labels are compared squashed, orthography folded and lower-cased.
+    ``text`` and labels are compared in their match forms without white space.
     """
-    fold = lambda c: squash(fold_orthography(F.lower(c)))
+    fold = lambda c: squash(match_form(c))
     haystack = fold(text)
-    endings = "|".join(PLURAL_ENDINGS)
+    endings = "|".join(map(match_text, PLURAL_ENDINGS))
 
     def present(label: Column) -> Column:
         needle = fold(label)
@@ -194,10 +193,23 @@ def storage_key_ok(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~c.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
 
 
+def only(c: Column, characters: str) -> Column:
+    """True for a text of these characters alone, one at least."""
+    return (F.length(c) > 0) & (F.translate(c, characters, "") == "")
+
+
 def csv_guard(c: Column) -> Column:
-    """A quote before text that a spreadsheet would run as a formula; negative numbers stay."""
-    risky = c.rlike(r"^[=+\-@\t\r]") & ~c.rlike(r"^-[0-9][0-9,]*(\.[0-9]+)?$")
-    return F.when(risky, F.concat(F.lit("'"), c)).otherwise(c)
+    """A quote before text that a spreadsheet would run as a formula; negative numbers stay.
+
+    A number's sign is followed by a whole part of digits and commas that begins with a
+    digit, and by a point and digits or by nothing.
+    """
+    digits_ = "0123456789"
+    parts = F.split(F.substr(c, F.lit(2)), "[.]")
+    whole, fraction = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    number = only(F.left(whole, F.lit(1)), digits_) & only(whole, digits_ + ",") & (F.size(parts) <= 2) & F.coalesce(only(fraction, digits_), F.lit(True))
+    formula = F.left(c, F.lit(1)).isin("=", "+", "-", "@", "\t", "\r") & ~(c.startswith("-") & number)
+    return F.when(formula, F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def export_cell(kind: Column, c: Column) -> Column:
@@ -242,7 +254,7 @@ def interpolate(template: Column, values: dict[str, Column]) -> Column:
 def label_for(own: Column, other: Column, key: Column) -> Column:
     """A field's label: own language, else the other, else the key made readable."""
     words = F.replace(key, F.lit("_"), F.lit(" "))
-    readable = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 10_000))
+    readable = F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(other, F.lit("")), readable)
 
 
@@ -253,10 +265,26 @@ def numeric_like(kind: Column, value: Column) -> Column:
 
 
 def parse_amount(c: Column) -> Column:
-    """The first number of a printed amount; grouping commas go, a decimal comma ends it."""
-    text = F.translate(numerals(c), "٫٬", ".")
-    bare = F.regexp_replace(text, r",(?=\d{3}(\D|$))", "")
-    return F.nullif(F.regexp_extract(bare, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast(MONEY)
+    """The first number of a printed amount; grouping commas go, a decimal comma ends it.
+
+    From the first digit on, digits, points and commas are read as groups between commas. A
+    group belongs to the number as long as it has exactly three digits before its point or end.
+    """
+    text = F.translate(canonical(c), "٫٬", ".")
+    lead = F.regexp_extract(text, r"^[^0-9]*", 0)
+    groups = F.split(F.regexp_extract(text, r"[0-9][0-9.,]*", 0), ",")
+    start = F.struct(F.get(groups, F.lit(0)).alias("text"), F.lit(True).alias("open"))
+
+    def grow(s: Column, group: Column) -> Column:
+        joins = s["open"] & (F.length(F.substring_index(group, ".", 1)) == 3)
+        return F.struct(F.when(joins, F.concat(s["text"], group)).otherwise(s["text"]).alias("text"), joins.alias("open"))
+
+    def number(s: Column) -> Column:
+        whole, fraction = F.split_part(s["text"], F.lit("."), F.lit(1)), F.split_part(s["text"], F.lit("."), F.lit(2))
+        sign = F.when(lead.endswith("-"), "-").otherwise("")
+        return F.concat(sign, whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise("")).try_cast(MONEY)
+
+    return F.when(F.length(lead) < F.length(text), let(F.aggregate(F.slice(groups, 2, F.size(groups)), start, grow), number))
 
 
 # Month names and their short forms.
@@ -266,42 +294,80 @@ MONTHS = (
 )
 
 
+ORDINALS = ("st", "nd", "rd", "th")
+DATE_MARKS = ("-", "/", ".")
+
+
 def date_readings(c: Column) -> Column:
-    """Every date a text could mean, as array<date>: D/M/Y and M/D/Y both where both are real."""
-    text = F.lower(numerals(c))
+    """Every date a text could mean, as array<date>: day before month and month before day both where both are real.
+
+    The text is read as items, runs of digits or letters, each with the gap before it. The first
+    items in a row that have the shape of a date decide: year, month, day; else day and month in either
+    order, year; else day, month name, year; else month name, day, year. A name that is no
+    month leaves its shape without a date.
+    """
+    text = F.lower(canonical(c))
+    gaps = F.regexp_extract_all(text, F.lit("([^0-9a-z]*)([0-9]+|[a-z]+)"), 1)
+    runs = F.regexp_extract_all(text, F.lit("([^0-9a-z]*)([0-9]+|[a-z]+)"), 2)
     month_of = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS, 1) for name in names.split() for x in (name, i)])
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
-    def year(y: Column) -> Column:
-        return F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-
-    def real(y: Column, m: Column, d: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", y, m.cast("string"), d), "yyyy-M-d")
-
-    iso = r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
-    numeric = r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
-    day_month = r"(?<!\d)(\d{1,2})[\s\-/.]*([a-z]{3,9})[\s\-/.,]*(\d{4}|\d{2})(?!\d)"
-    month_day = r"([a-z]{3,9})[\s.]*(\d{1,2})(?:st|nd|rd|th)?[\s,]+(\d{4}|\d{2})(?!\d)"
-    found = (
-        F.when(text.rlike(iso), F.array(real(part(iso, 1), part(iso, 2), part(iso, 3))))
-        .when(
-            text.rlike(numeric),
-            F.array(
-                real(year(part(numeric, 3)), part(numeric, 2), part(numeric, 1)),
-                real(year(part(numeric, 3)), part(numeric, 1), part(numeric, 2)),
-            ),
-        )
-        .when(F.coalesce(month_of[part(day_month, 2)].isNotNull(), F.lit(False)), F.array(real(year(part(day_month, 3)), month_of[part(day_month, 2)], part(day_month, 1))))
-        .when(F.coalesce(month_of[part(month_day, 1)].isNotNull(), F.lit(False)), F.array(real(year(part(month_day, 3)), month_of[part(month_day, 1)], part(month_day, 2))))
-    )
-    return F.coalesce(F.array_sort(F.array_distinct(F.filter(found, lambda d: d.isNotNull()))), F.array().cast("array<date>"))
+    def readings(items: Column) -> Column:
+        at = lambda i, k: F.get(items, i + k)
+        size = lambda x: F.length(x["run"])
+        digits_ = lambda x, *sizes: x["digits"] & size(x).isin(*sizes)
+        marked = lambda x: x["gap"].isin(*DATE_MARKS)
+        spaced = lambda x, marks: F.translate(x["gap"], " \t\n\x0b\f\r" + marks, "") == ""
+        word = lambda x: ~x["digits"] & (size(x) >= 3)
+
+        def first(shape: Callable[[Column], Column]) -> Column:
+            places = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)))
+            return F.get(F.filter(places, lambda i: F.coalesce(shape(i), F.lit(False))), F.lit(0))
+
+        def real(y: Column, m: Column, d: Column) -> Column:
+            year = F.when(F.length(y["run"]) == 2, F.concat(F.lit("20"), y["run"])).otherwise(y["run"])
+            return F.try_to_date(F.concat_ws("-", year, m, d["run"]), "yyyy-M-d")
+
+        kept = lambda dates: F.filter(dates, lambda d: d.isNotNull())
+
+        def named(i: Column, name: Column, day: Column, year: Column) -> Column:
+            month = F.try_element_at(month_of, F.right(name["run"], F.lit(9))).cast("string")
+            return F.when(i.isNotNull() & month.isNotNull(), kept(F.array(real(year, month, day))))
+
+        def year_first(i: Column) -> Column:
+            return digits_(at(i, 0), 4) & digits_(at(i, 1), 1, 2) & digits_(at(i, 2), 1, 2) & marked(at(i, 1)) & marked(at(i, 2))
+
+        def year_last(i: Column) -> Column:
+            return digits_(at(i, 0), 1, 2) & digits_(at(i, 1), 1, 2) & digits_(at(i, 2), 2, 4) & marked(at(i, 1)) & marked(at(i, 2))
+
+        def day_name(i: Column) -> Column:
+            return digits_(at(i, 0), 1, 2) & word(at(i, 1)) & (size(at(i, 1)) <= 9) & digits_(at(i, 2), 2, 4) & spaced(at(i, 1), "-/.") & spaced(at(i, 2), "-/.,")
+
+        def year_after(i: Column, k: int) -> Column:
+            return digits_(at(i, k), 2, 4) & spaced(at(i, k), ",") & (at(i, k)["gap"] != "")
+
+        def name_day(i: Column) -> Column:
+            ordinal = at(i, 2)["run"].isin(*ORDINALS) & (at(i, 2)["gap"] == "") & year_after(i, 3)
+            return word(at(i, 0)) & digits_(at(i, 1), 1, 2) & spaced(at(i, 1), ".") & (year_after(i, 2) | F.coalesce(ordinal, F.lit(False)))
+
+        def by_names(i: Column) -> Column:
+            return named(i, at(i, 1), at(i, 0), at(i, 2))
+
+        def by_name_first(i: Column) -> Column:
+            return named(i, at(i, 0), at(i, 1), F.when(at(i, 2)["digits"], at(i, 2)).otherwise(at(i, 3)))
+
+        iso = let(first(year_first), lambda i: F.when(i.isNotNull(), kept(F.array(real(at(i, 0), at(i, 1)["run"], at(i, 2))))))
+        either = let(first(year_last), lambda i: F.when(i.isNotNull(), kept(F.array(real(at(i, 2), at(i, 1)["run"], at(i, 0)), real(at(i, 2), at(i, 0)["run"], at(i, 1))))))
+        names = [let(first(day_name), by_names), let(first(name_day), by_name_first)]
+        return F.coalesce(iso, either, *names)
+
+    item = lambda gap, run: F.struct(gap.alias("gap"), run.alias("run"), run.rlike("^[0-9]").alias("digits"))
+    found = let(F.zip_with(gaps, runs, item), readings)
+    return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<date>"))
 
 
 def eval_code(c: Column) -> Column:
     """Only 0-9 and a-z, lower-cased."""
-    return F.regexp_replace(F.lower(numerals(c)), "[^0-9a-z]", "")
+    return F.regexp_replace(F.lower(canonical(c)), "[^0-9a-z]", "")
 
 
 def eval_name(folded: Column) -> Column:
@@ -319,27 +385,39 @@ def question_norm(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "))
 
 
-#: Which field a normalized question asks for; the first pattern that matches all of it counts.
-QUESTION_FIELDS = (
-    ("seller_name", r"what is (the )?(name of (the )?)?(store|company|shop|seller)( name)?"),
-    ("issue_date", r"what is (the )?(date|purchase date|date of purchase)( on the receipt)?"),
-    ("total_amount", r"what is (the )?(total|total amount|total price)( paid)?"),
-    ("invoice_number", r"what is (the )?(receipt|invoice|order) (number|no|id)"),
-)
+# What a question about a field may say, normalized; lookalikes are left out on purpose.
+PLACES = "store shop restaurant supermarket pharmacy merchant".split()
+DATED = "transaction receipt purchase invoice order".split()
+QUESTIONS: dict[str, list[str]] = {
+    "seller_name": [f"what is the name of the {x}" for x in PLACES] + [f"what is the {x} name" for x in PLACES],
+    "issue_date": ["what is the date", "what is the date on the receipt"]
+    + [f"what is the date of the {x}" for x in DATED]
+    + [f"what is the {x} date" for x in ("transaction", "receipt", "invoice", "purchase")]
+    + [f"what date was the {x}{made}" for x in ("transaction", "receipt", "purchase") for made in ("", " made")]
+    + [f"when was the {x}{made}" for x in ("transaction", "purchase") for made in ("", " made")],
+    "invoice_number": [f"what is the {x} {y}" for x in ("transaction", "receipt", "invoice", "bill") for y in ("number", "no")],
+    "subtotal": [f"what {v} the {x}" for v in ("is", "was") for x in ("subtotal", "sub total", "subtotal amount")]
+    + [f"what is the {x}" for x in ("total amount without vat", "total without vat", "total before vat", "amount before vat", "total excluding vat", "total before tax")],
+    "vat_amount": [f"what {v} the {x}" for v in ("is", "was") for x in ("vat amount", "vat value", "total vat", "tax amount", "vat", "amount of vat", "total tax", "tax")],
+    "total_amount": [f"what {v} the {x}" for v in ("is", "was") for x in ("total", "total amount", "grand total", "total amount paid", "total price")],
+    "seller_trn": [f"what is the {x}" for x in ("vat number", "vat registration number", "tax registration number", "tax number", "vat no")],
+}
 
 
 def field_for(question: Column) -> Column:
-    text = question_norm(question)
-    return F.coalesce(*[F.when(text.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in QUESTION_FIELDS])
+    """The field that a question asks for, by its whole normalized text; null for any other."""
+    asked = F.create_map(*[F.lit(x) for field, texts in QUESTIONS.items() for text in texts for x in (text, field)])
+    return F.try_element_at(asked, question_norm(question))
 
 
-#: Upper edges of the gap buckets.
-GAP_EDGES = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
+#: Upper edges of the gap buckets; what lies beyond is a bucket too.
+GAP_EDGES = (0.05, 0.10, 0.15, 0.20, 0.30, 0.50, 1.00)
 
 
 def bucket(c: Column, edges: tuple[float, ...] = GAP_EDGES) -> Column:
-    """The first edge above the value, null beyond the last."""
-    return F.coalesce(*[F.when(c < e, F.lit(e)) for e in edges])
+    """The first edge above the value as ``<0.05``, or the last as ``>=1.00``."""
+    below = F.coalesce(*[F.when(c < e, F.lit(f"<{e:.2f}")) for e in edges], F.lit(f">={edges[-1]:.2f}"))
+    return F.when(c.isNotNull(), below)
 
 
 def bbox_union(words: Column) -> Column:

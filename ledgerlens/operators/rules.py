@@ -19,7 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import fuzzy
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.messages import EMPTY_NAME, MESSAGES, QR_LABELS, SEQUENCE_PARTS
 
@@ -80,18 +79,13 @@ def amount(key: str) -> Column:
 def prepare(ctx: DataFrame) -> DataFrame:
     """The three amounts parsed once, and the match forms that the text rules share."""
     out = ctx.withColumns({f"__{k}": S.to_decimal(field(k)) for k in AMOUNTS})
-    folded = F.lower(S.fold_orthography(S.collapse(S.numerals("page_text"))))
-    return out.withColumn("__haystack", F.coalesce(folded, F.lit(""))).withColumn("__digits", S.digits(F.col("__haystack")))
+    return out.withColumn("__haystack", F.coalesce(S.match_form(F.col("page_text")), F.lit(""))).withColumn("__digits", S.digits(F.col("__haystack")))
 
 
-def _fold(c: Column) -> Column:
-    return F.lower(S.fold_orthography(S.collapse(S.numerals(c))))
-
-
-def _same_value(a: Column, b: Column, numeric: Column) -> Column:
-    """Equal as decimals where both parse and the field is numeric, else as folded text."""
-    x, y = S.to_decimal(a), S.to_decimal(b)
-    return F.when(numeric & x.isNotNull() & y.isNotNull(), x == y).otherwise(_fold(a) == _fold(b))
+def same_value(a: Column, b: Column, numeric: Column) -> Column:
+    """Equal as decimals where both parse and the field is numeric, else in their match forms."""
+    x, y = S.to_decimal(S.canonical(a)), S.to_decimal(S.canonical(b))
+    return F.when(a == b, F.lit(True)).when(numeric & x.isNotNull() & y.isNotNull(), x == y).otherwise(S.match_form(a) == S.match_form(b))
 
 
 @rule("LINE_TOTAL_MISMATCH")
@@ -230,7 +224,7 @@ def _compared(source: str) -> Column:
 def xml_and_model() -> Column:
     def judge(e: Column) -> Column:
         key, value, shadow = e["key"], e["value"]["value"], e["value"]["shadow"]
-        return F.when(~_same_value(value, shadow, F.array_contains("numeric_keys", key)), _finding("XML_PDF_MISMATCH", key, key=key, value=value, shadow=shadow))
+        return F.when(~same_value(value, shadow, F.array_contains("numeric_keys", key)), _finding("XML_PDF_MISMATCH", key, key=key, value=value, shadow=shadow))
 
     return S.let(_compared("ubl_xml"), lambda c: _result(F.size(c) > 0, F.transform(c, judge)))
 
@@ -240,7 +234,7 @@ def qr_and_model() -> Column:
     def judge(e: Column) -> Column:
         key, value, shadow = e["key"], e["value"]["value"], e["value"]["shadow"]
         dates = F.coalesce(S.to_date(value) == S.to_date(shadow), F.lit(False))
-        text = (S.has_arabic(value) != S.has_arabic(shadow)) | _same_value(value, shadow, F.array_contains("numeric_keys", key))
+        text = (S.has_arabic(value) != S.has_arabic(shadow)) | same_value(value, shadow, F.array_contains("numeric_keys", key))
         return F.when(~F.when(key == "issue_date", dates).otherwise(text), _finding("QR_MODEL_MISMATCH", key, key=key, value=value, shadow=shadow))
 
     return S.let(_compared("qr"), lambda c: _result(F.size(c) > 0, F.transform(c, judge)))
@@ -253,7 +247,7 @@ def printed_on_page() -> Column:
     def needle(key: Column) -> Column:
         entry = F.try_element_at("fields", key)
         exempt = F.coalesce(entry["source"].isin("ubl_xml", "human", "computed", "qr"), F.lit(True))
-        return F.when(~exempt, F.nullif(_fold(entry["value"]), F.lit("")))
+        return F.when(~exempt, F.nullif(S.match_form(entry["value"]), F.lit("")))
 
     keys = F.filter(F.array_sort("numeric_keys"), lambda k: needle(k).isNotNull())
 
@@ -322,9 +316,3 @@ def run_rules(ctx: DataFrame, codes: list[str] | None = None) -> DataFrame:
     outcomes = [_rows(code) for code in codes or list(_RULES)]
     every = F.concat(*outcomes) if len(outcomes) > 1 else outcomes[0]
     return prepare(ctx).select("annotation_id", F.inline(every))
-
-
-def same_value_exact(a: Column, b: Column, numeric: Column) -> Column:
-    """The rules' equality with the full (NFKC, case-folded) match form, for stored comparisons outside the rules."""
-    x, y = S.to_decimal(fuzzy.normalize(a)), S.to_decimal(fuzzy.normalize(b))
-    return F.when(numeric & x.isNotNull() & y.isNotNull(), x == y).otherwise(fuzzy.match_form(a) == fuzzy.match_form(b))

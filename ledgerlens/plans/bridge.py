@@ -161,17 +161,16 @@ VIEWS: dict[str, str] = {
                CASE WHEN annotation_id % 3 = 0 THEN 'producer-a' ELSE 'producer-b' END AS producer,
                CASE WHEN annotation_id % 2 = 0 THEN 'vision' ELSE 'text' END AS path
         FROM {field_cells} WHERE row_index IS NULL""",
-    # Words of documents with a made-up but fixed layout: eight words a line, gaps that vary by position.
+    # Words of documents with a made-up but fixed layout: eight words a line of height 20, gaps that vary by position.
     "words": """
         SELECT doc_id, CAST(pos AS INT) AS pos, word, CAST(floor(pos / 8) AS INT) AS line,
-               (pos % 8) * 100 + (pos * 7) % 13 AS x0, (pos % 8) * 100 + (pos * 7) % 13 + 60 + (pos * 11) % 50 AS x1
-        FROM {doc_words} WHERE pos < 64""",
+               (pos % 8) * 100 + (pos * 7) % 13 AS x0, (pos % 8) * 100 + (pos * 7) % 13 + 60 + (pos * 11) % 50 AS x1,
+               CAST(floor(pos / 8) AS INT) * 20 AS y0, CAST(floor(pos / 8) AS INT) * 20 + 20 AS y1
+        FROM {doc_words}""",
 }
 #: Views whose text differs by engine.
 SPARK_ONLY = {
     "doc_words": "SELECT doc_id, pos, word FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, word) FROM {documents}) w",
-    # All words of each document; only the given text, which the oracles keep, ends at 64.
-    "words": VIEWS["words"].replace(" WHERE pos < 64", ""),
 }
 DUCK_ONLY = {
     "doc_words": """
@@ -212,5 +211,6 @@ def duck_sql(query: str) -> str:
     body = plain(query)
     if not order:
         return body
-    head = ", ".join(f"{n} AS ({plain(texts[n])})" for n in order)
+    # Materialised, or each use of a view would expand it anew.
+    head = ", ".join(f"{n} AS MATERIALIZED ({plain(texts[n])})" for n in order)
     return f"WITH {head}, {body[5:].lstrip()}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"

@@ -39,7 +39,7 @@ def sc_date_readings(orders):
 
 @op("sc_eval_name", "part", oracle="SELECT p_partkey, p_name || ' co' AS name FROM {part}")
 def sc_eval_name(part):
-    return part.select("p_partkey", S.eval_name(fuzzy.match_form(F.concat(F.upper("p_name"), F.lit(" (Co.)")))).alias("name"))
+    return part.select("p_partkey", S.eval_name(S.match_form(F.concat(F.upper("p_name"), F.lit(" (Co.)")))).alias("name"))
 
 
 @op("sc_eval_code", "customer", oracle="SELECT c_custkey, 'customer' || substr(c_name, 10) AS code FROM {customer}")
@@ -54,8 +54,8 @@ def matches(field: Column, predicted: Column, acceptable: Column) -> Column:
     by_date = F.exists(acceptable, lambda a: F.arrays_overlap(S.date_readings(predicted), S.date_readings(a)))
     code = S.eval_code(predicted)
     by_code = (code != "") & F.exists(acceptable, lambda a: code == S.eval_code(a))
-    name = S.eval_name(F.lower(predicted))
-    by_name = (name != "") & F.exists(acceptable, lambda a: name == S.eval_name(F.lower(a)))
+    name = S.eval_name(S.match_form(predicted))
+    by_name = (name != "") & F.exists(acceptable, lambda a: name == S.eval_name(S.match_form(a)))
     kind = F.when(field.isin(*AMOUNT_FIELDS), by_amount).when(field.isin(*DATE_FIELDS), by_date).when(field.isin(*CODE_FIELDS), by_code).otherwise(by_name)
     return F.coalesce((F.trim(predicted) != "") & kind, F.lit(False))
 
@@ -105,7 +105,7 @@ def sc_lev_sim(part):
 
 
 def same_tokens_one_way(a: Column, b: Column) -> Column:
-    x, y = (F.split(S.eval_name(F.lower(c)), " ") for c in (a, b))
+    x, y = (F.split(S.eval_name(S.match_form(c)), " ") for c in (a, b))
     return (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
 
 
@@ -130,21 +130,29 @@ def classify_error(field: Column, predicted: Column, truth: Column, other: Colum
     )
 
 
-@op("sc_classify_error", "readings", oracle="""WITH w AS (SELECT r.*, o.expected AS other FROM {readings} r LEFT JOIN (SELECT annotation_id, expected FROM {readings} WHERE field_key = 'currency') o ON o.annotation_id = r.annotation_id
+#: Wrong codes and currencies with their cause, restated (their other answer never is another field's, and their truth is always given).
+CAUSES_SQL = """WITH w AS (SELECT r.*, o.expected AS other FROM {readings} r LEFT JOIN (SELECT annotation_id, expected FROM {readings} WHERE field_key = 'currency') o ON o.annotation_id = r.annotation_id
     WHERE r.expected IS NOT NULL AND r.expected IS DISTINCT FROM r.got AND r.field_key IN ('invoice_number', 'seller_trn', 'buyer_trn', 'currency'))
   SELECT annotation_id, field_key, CASE WHEN got IS NULL THEN 'empty' WHEN 1.0 - CAST(levenshtein(c, d) AS DOUBLE) / greatest(length(c), length(d)) >= 0.75 THEN 'misread' ELSE 'unclassified' END AS cause FROM (
-  SELECT *, CASE WHEN field_key = 'currency' THEN got ELSE regexp_replace(lower(got), '[^0-9a-z]', '', 'g') END AS c, CASE WHEN field_key = 'currency' THEN expected ELSE regexp_replace(lower(expected), '[^0-9a-z]', '', 'g') END AS d FROM w) t""")
-def sc_classify_error(readings):
+  SELECT *, CASE WHEN field_key = 'currency' THEN got ELSE regexp_replace(lower(got), '[^0-9a-z]', '', 'g') END AS c, CASE WHEN field_key = 'currency' THEN expected ELSE regexp_replace(lower(expected), '[^0-9a-z]', '', 'g') END AS d FROM w) t"""
+
+
+def error_causes(readings: DataFrame) -> DataFrame:
     other = readings.where("field_key = 'currency'").select("annotation_id", F.col("expected").alias("other"))
     wrong = readings.where("expected IS NOT NULL AND NOT (expected <=> got)").where(F.col("field_key").isin("invoice_number", "seller_trn", "buyer_trn", "currency"))
     cause = classify_error(F.col("field_key"), F.col("got"), F.col("expected"), F.when(F.col("field_key") != "currency", F.col("other")))
     return wrong.join(other, "annotation_id", "left").select("annotation_id", "field_key", cause.alias("cause"))
 
 
+@op("sc_classify_error", "readings", oracle=CAUSES_SQL)
+def sc_classify_error(readings):
+    return error_causes(readings)
+
+
 def bench_same(field: Column, expected: Column, got: Column) -> Column:
     """The benchmark's equality: money within half a cent, dates by their digit groups, currency synonyms, text without punctuation."""
     bare = lambda c: F.regexp_replace(S.numerals(c), r"[^0-9.\-]", "").try_cast(S.MONEY)
-    folded = lambda c: F.regexp_replace(S.fold_orthography(F.lower(c)), r"(?U)[\W_]+", "")
+    folded = lambda c: F.regexp_replace(S.match_form(c), r"(?U)[\W_]+", "")
     groups = lambda c: F.regexp_extract_all(S.numerals(c), F.lit(r"(\d+)"), 1)
 
     def day(c: Column) -> Column:
@@ -168,7 +176,7 @@ def sc_bench_same(readings):
     return readings.select("annotation_id", "field_key", bench_same(F.col("field_key"), F.col("expected"), got).alias("same"))
 
 
-@op("sc_ground_truth", "conversations", oracle="""WITH a AS (SELECT DISTINCT conv_id, CASE turn % 3 WHEN 0 THEN 'seller_name' WHEN 1 THEN 'invoice_number' END AS field, substr(text, 1, 3) AS answer FROM {conversations}),
+@op("sc_ground_truth", "conversations", oracle="""WITH a AS (SELECT DISTINCT conv_id, CASE turn % 3 WHEN 0 THEN 'seller_name' WHEN 1 THEN 'invoice_number' END AS field, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer FROM {conversations}),
   g AS (SELECT conv_id, field, count(*) AS n FROM a WHERE field IS NOT NULL AND trim(answer) <> '' GROUP BY ALL) SELECT conv_id, field, n FROM g WHERE n = 1 OR field = 'invoice_number'""")
 def sc_ground_truth(conversations):
     """Distinct answers per field, first seen first; an ambiguous field goes, except the receipt number."""

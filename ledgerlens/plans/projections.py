@@ -368,7 +368,7 @@ def so_tiers(fields, specs):
 
 
 @op("so_batch_keys", "fields", "specs", oracle="""SELECT field_key, min(coalesce(position, 9)) AS position FROM (SELECT f.field_key, s.position FROM {fields} f LEFT JOIN {specs} s ON s.field_key = f.field_key
-  WHERE f.annotation_id < 200) k GROUP BY field_key""")
+) k GROUP BY field_key""")
 def so_batch_keys(fields, specs):
     joined = fields.join(F.broadcast(specs.select("field_key", "position")), "field_key", "left")
     return joined.groupBy("field_key").agg(F.min(F.coalesce("position", F.lit(9))).alias("position"))
@@ -401,6 +401,10 @@ def st_except(documents, labels):
     return documents.select("doc_id").join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti")
 
 
+HALVES_SQL = """(SELECT doc_id, w[1:ceil(len(w) / 2)::BIGINT] AS a, w[ceil(len(w) / 2)::BIGINT + 1:] AS b FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {documents}) t) h"""
+
+
 def halves(text: str) -> list[Column]:
     """The words of a whole text in two arrays; the first has one more if their number is odd."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -408,14 +412,13 @@ def halves(text: str) -> list[Column]:
     return [F.slice(words, 1, first), F.slice(words, first + 1, F.size(words) - first)]
 
 
-@op("st_intersect", "documents", oracle="SELECT a.doc_id FROM {documents} a WHERE len(list_intersect(string_split(substr(a.text, 1, 60), ' '), string_split(substr(a.text, 61, 60), ' '))) > 0")
+@op("st_intersect", "documents", oracle="SELECT doc_id FROM " + HALVES_SQL + " WHERE len(list_intersect(a, b)) > 0")
 def st_intersect(documents):
     """Documents with a word in both halves of their text."""
     return documents.where(F.arrays_overlap(*halves("text"))).select("doc_id")
 
 
-@op("st_subset", "documents", oracle="""SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS nested
-  FROM (SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS a, string_split(substr(text, 1, 80), ' ') AS b FROM {documents}) t""")
+@op("st_subset", "documents", oracle="SELECT doc_id, len(b) > 0 AND (list_has_all(b, a) OR list_has_all(a, b)) AS nested FROM " + HALVES_SQL)
 def st_subset(documents):
     """Whether the words of one half of a text all appear in the other; an empty half is in none."""
     a, b = halves("text")
@@ -444,7 +447,7 @@ def st_flag_union(findings):
     return sets.select("annotation_id", F.size(flagged).cast("long").alias("flagged"), F.size(F.array_except("g", flagged)).cast("long").alias("green"))
 
 
-@op("st_missing_offenders", "annotations", oracle="""WITH asked AS (SELECT DISTINCT CAST(id * 7 AS BIGINT) AS id FROM {annotations} WHERE id < 4000),
+@op("st_missing_offenders", "annotations", oracle="""WITH asked AS (SELECT DISTINCT CAST(id * 7 AS BIGINT) AS id FROM {annotations}),
   j AS (SELECT q.id, a.status FROM asked q LEFT JOIN {annotations} a ON a.id = q.id)
   SELECT id, CASE WHEN status IS NULL THEN 'missing' WHEN status NOT IN ('confirmed', 'exported') THEN 'not_confirmed' ELSE 'ok' END AS verdict,
     (SELECT count(*) FROM j WHERE status IS NULL OR status NOT IN ('confirmed', 'exported')) = 0 AS batch_ok FROM j""")

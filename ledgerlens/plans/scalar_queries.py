@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import fuzzy
 from ledgerlens.functions import scalars as S
 from ledgerlens.plans.catalog import op
 
@@ -40,7 +39,7 @@ def sc_presentation(customer):
 def sc_normalize(customer):
     """NFKC, digits, dashes, spaces and invisible characters folded: a decorated text comes back plain."""
     decorated = F.concat(_arabic_digits(F.col("c_custkey").cast("string")), F.lit("\u00a0\u200b\ufee3\u2013"), F.col("c_name"), F.lit(" \t x\u200f"))
-    return customer.select("c_custkey", fuzzy.normalize(decorated).alias("normal"))
+    return customer.select("c_custkey", S.canonical(decorated).alias("normal"))
 
 
 @op("sc_orthography", "customer", oracle="SELECT c_custkey, chr(1575) || chr(1575) || chr(1610) || chr(1607) || c_mktsegment AS folded FROM {customer}")
@@ -51,7 +50,7 @@ def sc_orthography(customer):
 @op("sc_match_form", "documents", oracle="SELECT doc_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS form FROM {documents}")
 def sc_match_form(documents):
     """Folded for comparing: case folding also turns ß into ss, which lower() doesn't."""
-    return documents.select("doc_id", fuzzy.match_form(F.col("text")).alias("form"))
+    return documents.select("doc_id", S.match_form(F.col("text")).alias("form"))
 
 
 @op("sc_squash", "documents", oracle="SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS squashed FROM {documents}")
@@ -121,10 +120,10 @@ def sc_ubl_time(events):
 @op("sc_same_value", "fields", oracle="""SELECT annotation_id, field_key, row_index, CASE WHEN field_key IN ('subtotal', 'vat_amount', 'total_amount') AND TRY_CAST(value_extracted AS DECIMAL(38,10)) IS NOT NULL AND TRY_CAST(shadow_value AS DECIMAL(38,10)) IS NOT NULL
   THEN TRY_CAST(value_extracted AS DECIMAL(38,10)) = TRY_CAST(shadow_value AS DECIMAL(38,10)) ELSE lower(value_extracted) = lower(shadow_value) END AS same FROM {fields} WHERE row_index IS NULL""")
 def sc_same_value(fields):
-    from ledgerlens.operators.rules import same_value_exact
+    from ledgerlens.operators.rules import same_value
 
     numeric = F.col("field_key").isin("subtotal", "vat_amount", "total_amount")
-    return fields.where("row_index IS NULL").select("annotation_id", "field_key", "row_index", same_value_exact(F.col("value_extracted"), F.col("shadow_value"), numeric).alias("same"))
+    return fields.where("row_index IS NULL").select("annotation_id", "field_key", "row_index", same_value(F.col("value_extracted"), F.col("shadow_value"), numeric).alias("same"))
 
 
 @op("sc_trn_valid", "inv_header", oracle="SELECT annotation_id, coalesce(length(seller_trn) = 15, false) AS seller_ok, coalesce(right(buyer_trn, 1) = '3', false) AS buyer_ok FROM {inv_header}")
@@ -309,7 +308,7 @@ def sc_bbox_union(words):
     return joined.select("doc_id", "line", "b.x0", "b.x1")
 
 
-@op("sc_bucket", "words", oracle="""SELECT doc_id, pos, CASE WHEN r < 0.05 THEN 0.05 WHEN r < 0.1 THEN 0.1 WHEN r < 0.2 THEN 0.2 WHEN r < 0.3 THEN 0.3 WHEN r < 0.4 THEN 0.4 WHEN r < 0.5 THEN 0.5 WHEN r < 0.6 THEN 0.6 WHEN r < 0.8 THEN 0.8 WHEN r < 1.0 THEN 1.0 END::DOUBLE AS bucket
+@op("sc_bucket", "words", oracle="""SELECT doc_id, pos, CASE WHEN r < 0.05 THEN '<0.05' WHEN r < 0.10 THEN '<0.10' WHEN r < 0.15 THEN '<0.15' WHEN r < 0.20 THEN '<0.20' WHEN r < 0.30 THEN '<0.30' WHEN r < 0.50 THEN '<0.50' WHEN r < 1.00 THEN '<1.00' ELSE '>=1.00' END AS bucket
   FROM (SELECT doc_id, pos, CAST((pos * 7) % 25 AS DOUBLE) / 20 AS r FROM {words}) t""")
 def sc_bucket(words):
     return words.select("doc_id", "pos", S.bucket(((F.col("pos") * 7) % 25).cast("double") / 20).alias("bucket"))
@@ -320,8 +319,10 @@ def sc_question_norm(conversations):
     return conversations.select("conv_id", "turn", S.question_norm(F.col("text")).alias("question"))
 
 
-@op("sc_field_for", "conversations", oracle="SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'seller_name' WHEN 1 THEN 'issue_date' WHEN 2 THEN 'total_amount' END AS field FROM {conversations}")
+@op("sc_field_for", "conversations", oracle="SELECT conv_id, turn, ['seller_name', 'issue_date', 'total_amount', 'subtotal', 'vat_amount', 'seller_trn', 'invoice_number', NULL, NULL, NULL][(conv_id * 3 + turn) % 10 + 1] AS field FROM {conversations}")
 def sc_field_for(conversations):
-    k = F.col("turn") % 4
-    asked = F.when(k == 0, "What is the store name?").when(k == 1, "what is  the DATE").when(k == 2, "What is the total amount?").otherwise("what is the total weight")
+    """One question for each field, and three lookalikes that ask for none."""
+    texts = ("What is the pharmacy name?", "when  was the PURCHASE made", "What was the grand total?", "What is the total before tax?", "What is the VAT value?", "what is the VAT registration number?", "What is the bill no.?",
+             "What is the name of the company?", "What is the order number?", "what is the total weight")
+    asked = F.element_at(F.array(*map(F.lit, texts)), ((F.col("conv_id") * 3 + F.col("turn")) % 10 + 1).cast("int"))
     return conversations.select("conv_id", "turn", S.field_for(asked).alias("field"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.reading import has_letter, join_wrapped, page_direction, reading_order, segment, split_columns, windows
 from ledgerlens.plans.catalog import op
 from ledgerlens.plans.relations import REVIEWER_SQL, last_reviewers
 
@@ -31,90 +32,73 @@ def wn_first_queue(docs):
     return first.select("org_id", "queue_id")
 
 
-#: A gap of this many neighbour widths breaks a word; after a non-joining letter more is allowed.
-GAP, NON_JOINING_GAP = 0.5, 1.1
+# The driver's texts are Latin: words that end in certain letters play the other script's part.
+def stand_in_rtl(word):
+    return F.right(word, F.lit(1)).isin("e", "n")
 
 
-def islands(df, keys, order, breaks):
-    """Number the runs that ``breaks`` (a Column over lagged rows) starts, from 0."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("island", F.sum(F.when(breaks(w), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+def stand_in_ltr(word):
+    return has_letter(word) & ~stand_in_rtl(word)
 
 
-@op("wn_segment", "words", oracle="""SELECT doc_id, line, CAST(island AS BIGINT) AS island, string_agg(word, '' ORDER BY pos) AS word FROM (
-  SELECT *, sum(CASE WHEN x0 - px1 > (CASE WHEN right(pw, 1) IN ('e', 'r') THEN 1.1 ELSE 0.5 END) * ((x1 - x0) + pwid) / 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY pos) AS island FROM (
-    SELECT *, lag(x1) OVER w AS px1, lag(word) OVER w AS pw, lag(x1 - x0) OVER w AS pwid FROM {words} WINDOW w AS (PARTITION BY doc_id, line ORDER BY pos)) a) b GROUP BY doc_id, line, island""")
-def wn_segment(words):
-    """Glyphs join to words until a gap beyond a factor of the mean neighbour width (here: words to fragments)."""
-    def breaks(w):
-        before = F.lag("x1").over(w)
-        factor = F.when(F.right(F.lag("word").over(w), F.lit(1)).isin("e", "r"), F.lit(NON_JOINING_GAP)).otherwise(F.lit(GAP))
-        return F.col("x0") - before > factor * ((F.col("x1") - F.col("x0")) + F.lag(F.col("x1") - F.col("x0")).over(w)) / F.lit(2.0)
-
-    grouped = islands(words, ["doc_id", "line"], ["pos"], breaks).groupBy("doc_id", "line", "island")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), "")
-    return grouped.agg(text.alias("word"))
-
-
-@op("wn_column_split", "words", oracle="""SELECT doc_id, line, pos, CAST(sum(CASE WHEN x0 - reach > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos) AS BIGINT) AS island FROM (
-  SELECT *, max(x1) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {words}) t""")
-def wn_column_split(words):
-    """Cut where the gap to the furthest right edge so far exceeds half a line height (20 here)."""
-    order = ["x0", "x1", "pos"]
+def stand_in_non_joining(word):
+    return F.right(word, F.lit(1)).isin("e", "r")
 
-    def breaks(w):
-        return F.col("x0") - F.col("reach") > 10
 
-    w = W.partitionBy("doc_id", "line").orderBy(*order)
-    reached = words.withColumn("reach", F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    return islands(reached, ["doc_id", "line"], order, breaks).select("doc_id", "line", "pos", "island")
+RTL_SQL = "right(word, 1) IN ('e', 'n')"
+LETTER_SQL = "regexp_matches(word, '\\pL')"
+LTR_SQL = f"({LETTER_SQL} AND NOT {RTL_SQL})"
+BLANK_SQL = "regexp_matches({w}, '^[\\s\\x0B\\x85\\pZ]*$')"
 
 
-RTL_SQL = "right(word, 1) IN ('e', 'n')"
+@op("wn_segment", "words", oracle=f"""SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY begin_at) - 1 AS island, word FROM (
+  SELECT doc_id, line, island, min(pos) AS begin_at, string_agg(word, '' ORDER BY pos) AS word FROM (
+    SELECT *, sum(CASE WHEN {BLANK_SQL.format(w='word')} OR {BLANK_SQL.format(w='pw')} OR x0 - px1 > (CASE WHEN right(pw, 1) IN ('e', 'r') THEN 1.1 ELSE 0.5 END) * ((x1 - x0) + pwid) / 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY pos) AS island FROM (
+      SELECT *, lag(x1) OVER w AS px1, lag(word) OVER w AS pw, lag(x1 - x0) OVER w AS pwid FROM {{words}} WINDOW w AS (PARTITION BY doc_id, line ORDER BY pos)) a) b
+  WHERE NOT {BLANK_SQL.format(w='word')} GROUP BY doc_id, line, island) c""")
+def wn_segment(words):
+    """Glyphs (here words) join until a space or a gap beyond a factor of the mean width of the two beside it."""
+    return segment(words, ["doc_id", "line"], order="pos", non_joining=stand_in_non_joining)
 
 
-def stand_in_rtl(c=None):
-    """The words that play the right-to-left script in the driver's Latin texts."""
-    return F.right(F.col(c or "word"), F.lit(1)).isin("e", "n")
+@op("wn_column_split", "words", oracle=f"""SELECT doc_id, line, pos, CAST(sum(CASE WHEN cuts AND x0 - reach > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos) AS INT) AS island FROM (
+  SELECT *, max(x1) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, bool_or({RTL_SQL}) OVER (PARTITION BY doc_id, line) AS cuts FROM {{words}}) t""")
+def wn_column_split(words):
+    """Cut a line with a right-to-left word where a word begins half a line's height beyond the furthest edge so far."""
+    return split_columns(words, ["doc_id", "line"], order="pos", rtl=stand_in_rtl).select("doc_id", "line", "pos", "island")
 
 
-@op("wn_runs", "words", oracle=f"""WITH k AS (SELECT *, {RTL_SQL} AS rtl FROM {{words}}), i AS (SELECT *, sum(CASE WHEN rtl IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos) AS run
-    FROM (SELECT *, lag(rtl) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos) AS p FROM k) a)
-  SELECT doc_id, line, pos, CAST(row_number() OVER (PARTITION BY doc_id, line ORDER BY run DESC, CASE WHEN rtl THEN -x0 ELSE pos END, pos) AS INT) AS place FROM i""")
+@op("wn_runs", "words", oracle=f"""WITH d AS (SELECT doc_id, count(*) FILTER (WHERE {RTL_SQL}) > count(*) FILTER (WHERE {LTR_SQL}) AS page_rtl FROM {{words}} GROUP BY doc_id),
+  k AS (SELECT *, {RTL_SQL} AS rtl, {LETTER_SQL} AS letter, bool_or({RTL_SQL}) OVER (PARTITION BY doc_id, line) AS mixed FROM {{words}}),
+  s AS (SELECT *, rtl OR (NOT letter AND coalesce(lag(rtl) OVER v AND lead(rtl) OVER v, false)) AS kind, row_number() OVER v AS seen FROM k WINDOW v AS (PARTITION BY doc_id, line ORDER BY x0, x1, pos)),
+  i AS (SELECT *, sum(CASE WHEN kind IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id, line ORDER BY x0, x1, pos) AS p FROM s) q)
+  SELECT i.doc_id, line, pos, CAST(row_number() OVER (PARTITION BY i.doc_id, line ORDER BY CASE WHEN mixed THEN CASE WHEN page_rtl THEN -run ELSE run END END, CASE WHEN mixed AND kind THEN -seen ELSE pos END) AS INT) AS place FROM i JOIN d ON d.doc_id = i.doc_id""")
 def wn_runs(words):
-    """Reading order of a row on a right-to-left page: runs from the right, right-to-left runs reversed, others in stream order."""
-    visual = W.partitionBy("doc_id", "line").orderBy("x0", "x1", "pos")
-    marked = words.withColumn("rtl", stand_in_rtl())
-    runs = islands(marked, ["doc_id", "line"], ["x0", "x1", "pos"], lambda w: ~F.col("rtl").eqNullSafe(F.lag("rtl").over(visual)))
-    place = W.partitionBy("doc_id", "line").orderBy(F.desc("island"), F.when(F.col("rtl"), -F.col("x0")).otherwise(F.col("pos")), "pos")
-    return runs.select("doc_id", "line", "pos", F.row_number().over(place).alias("place"))
+    """Reading order of each line: runs of one direction, as the page's direction has them."""
+    pages = page_direction(words, ["doc_id"], rtl=stand_in_rtl, ltr=stand_in_ltr)
+    return reading_order(words.join(pages, "doc_id"), ["doc_id", "line"], F.col("rtl"), order="pos", rtl=stand_in_rtl).select("doc_id", "line", "pos", "place")
 
 
-@op("wn_page_dir", "words", oracle=f"SELECT doc_id, count(*) FILTER (WHERE {RTL_SQL}) > count(*) FILTER (WHERE NOT ({RTL_SQL})) AS rtl FROM {{words}} GROUP BY doc_id")
+@op("wn_page_dir", "words", oracle=f"SELECT doc_id, count(*) FILTER (WHERE {RTL_SQL}) > count(*) FILTER (WHERE {LTR_SQL}) AS rtl FROM {{words}} GROUP BY doc_id")
 def wn_page_dir(words):
-    return words.groupBy("doc_id").agg((F.count_if(stand_in_rtl()) > F.count_if(~stand_in_rtl())).alias("rtl"))
+    return page_direction(words, ["doc_id"], rtl=stand_in_rtl, ltr=stand_in_ltr)
 
 
-@op("wn_wrap_join", "words", oracle="""SELECT doc_id, string_agg(sep || word, '' ORDER BY pos) AS text FROM (SELECT doc_id, pos, word, CASE WHEN pos = 0 OR (right(lag(word) OVER w, 1) = ',' AND line > lag(line) OVER w) THEN '' ELSE ' ' END AS sep
-  FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) t GROUP BY doc_id""")
+@op("wn_wrap_join", "words", oracle="""SELECT doc_id, string_agg(sep || word, '' ORDER BY pos) AS text FROM (SELECT doc_id, pos, word, CASE WHEN pw IS NULL OR (right(pw, 1) = ',' AND length(pw) >= 2
+    AND regexp_matches(substr(pw, length(pw) - 1, 1), '^[\\pL\\pN]$') AND regexp_matches(substr(word, 1, 1), '^[\\pL\\pN]$') AND NOT ends_with(word, ':') AND y0 - py0 >= 10 AND y0 - py1 <= 20) THEN '' ELSE ' ' END AS sep
+  FROM (SELECT *, lag(word) OVER w AS pw, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) l) t GROUP BY doc_id""")
 def wn_wrap_join(words):
-    """Words joined by a space, but for a word that ends in a comma (the hyphen's stand-in) and goes on a line below."""
-    w = W.partitionBy("doc_id").orderBy("pos")
-    wraps = F.lag("word").over(w).endswith(",") & (F.col("line") > F.lag("line").over(w))
-    parts = words.select("doc_id", "pos", F.concat(F.when((F.col("pos") == 0) | wraps, "").otherwise(" "), F.col("word")).alias("part"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy("doc_id").agg(joined.alias("text"))
+    """Words joined by a space, but for a value that wraps onto the line below (a comma plays the hyphen)."""
+    return join_wrapped(words, ["doc_id"], order="pos", hyphen=",")
 
 
 @op("wn_ngrams", "words", oracle="""SELECT doc_id, pos, n, gram FROM (SELECT doc_id, pos, 1 AS n, word AS gram FROM {words} UNION ALL
   SELECT doc_id, pos, 2, word || ' ' || lead(word) OVER w FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos) UNION ALL
-  SELECT doc_id, pos, 3, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) g WHERE gram IS NOT NULL""")
+  SELECT doc_id, pos, 3, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos) UNION ALL
+  SELECT doc_id, pos, 4, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) g WHERE gram IS NOT NULL""")
 def wn_ngrams(words):
-    """All windows of one to three consecutive words (a one-word value searches windows up to three)."""
-    per = words.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("ws"))
-    sizes = per.select("doc_id", "ws", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("ws")))).alias("n"))
-    starts = sizes.select("doc_id", "ws", "n", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("n"))).alias("pos"))
-    return starts.select("doc_id", "pos", "n", F.array_join(F.slice("ws", F.col("pos") + 1, F.col("n")), " ").alias("gram"))
+    """All windows that a value of two words is compared with: one to four consecutive words."""
+    return windows(words, ["doc_id"], 2, order="pos")
 
 
 @op("wn_pairwise", "words", oracle="SELECT doc_id, pos, x0 - lag(x1) OVER (PARTITION BY doc_id, line ORDER BY x0, pos) AS gap FROM {words}")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import fuzzy
+from ledgerlens.functions import folding, fuzzy
 from ledgerlens.functions import scalars as S
 
 
@@ -46,7 +46,7 @@ def test_money_is_half_even(spark, values):
 
 
 def test_guards_and_keys(spark):
-    each(spark, S.csv_guard, {"=1+1": "'=1+1", "+SUM(A1)": "'+SUM(A1)", "@cmd": "'@cmd", "-1+1": "'-1+1", "-150.00": "-150.00", "-45,320.00": "-45,320.00", "": ""})
+    each(spark, S.csv_guard, {"=1+1": "'=1+1", "+SUM(A1)": "'+SUM(A1)", "@cmd": "'@cmd", "-1+1": "'-1+1", "-150.00": "-150.00", "-45,320.00": "-45,320.00", "": "", "-": "'-", "-1.": "'-1.", "-1.2.3": "'-1.2.3", "-,5": "'-,5", "\tx": "'\tx", "+1": "'+1"})
     each(spark, S.storage_key_ok, {"org/1/page-1.webp": True, "a/../b": False, "/etc/x": False, "a b": False, None: False})
     each(spark, S.safe_filename, {"../../x.pdf": "x.pdf", "C:\\a\\b.pdf": "b.pdf", "a\u0007b": "ab", "dir/": None})
 
@@ -79,6 +79,46 @@ def test_canonical_is_idempotent(text):
     assert fuzzy.canonical(once) == once
 
 
+ODD = "aAéÉßİıſﬁ½№ﷲﻣﻜﺔأإآاىيةه\u0654\u064e\u0301\u0323ـ١۹٪\u200b\u00ad–\u00a0\t\n 　Ａ１ｶﾞ𝐀Σσςǅŉ"
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.text(ODD, max_size=12), st.text(max_size=12)), min_size=1, max_size=60))
+def test_forms_in_the_jvm_are_the_definition(spark, texts):
+    """Texts with several marks on a letter, or Hangul jamo, are the stated exceptions."""
+    import unicodedata
+
+    marks = lambda t: any(unicodedata.combining(a) and unicodedata.combining(b) for a, b in zip(unicodedata.normalize("NFKD", t), unicodedata.normalize("NFKD", t)[1:]))
+    texts = [t for t in texts if "\0" not in t and not marks(t) and not any(0x1100 <= ord(c) < 0x1200 or 0xD800 <= ord(c) < 0xE000 for c in t)]
+    known = [t for t in texts if not any(ord(c) >= 0x10000 and not any(ord(c) in r for r in folding._ASTRAL) and unicodedata.normalize("NFKC", c).casefold() != c for c in t)]
+    assert one(spark, [(t,) for t in known], "c string", S.canonical(F.col("c"))) == [fuzzy.canonical(t) for t in known]
+    assert one(spark, [(t,) for t in known], "c string", S.match_form(F.col("c"))) == [fuzzy.matchable(t) for t in known]
+
+
+def test_amounts(spark):
+    cases = {"LE 3,754.00": "3754.00", "153.51 EGP": "153.51", "*299.00": "299.00", "1,234,567.5": "1234567.50", "12,5": "12.00", "1,23,456": "1.00", "-42.5": "-42.50", "٣٬٧٥٤٫٥": "3754.50", "1.2.3": "1.20", "none": None, "": None, None: None, "a -b 7": "7.00", "5.": "5.00"}
+    each(spark, lambda c: S.money_text(S.parse_amount(c)), cases)
+
+
+def test_date_readings(spark):
+    d = __import__("datetime").date
+    cases = {
+        "2022-11-06": [d(2022, 11, 6)], "06/11/2022": [d(2022, 6, 11), d(2022, 11, 6)], "14/09/2022": [d(2022, 9, 14)], "at 14.09.22 10:30": [d(2022, 9, 14)], "3 Sept 22": [d(2022, 9, 3)],
+        "5Mar2021": [d(2021, 3, 5)], "March 5th, 2021": [d(2021, 3, 5)], "mar. 5, 21": [d(2021, 3, 5)], "March 2021": [], "2024-02-30": [], "12 items 2020": [], "12345/11/2022": [], "1/2/345": [],
+        "٢٠٢٢/١١/٠٦": [d(2022, 11, 6)], "12 foo 2020, mar 5, 2021": [d(2021, 3, 5)], "none": [], "": [], "March 5 th, 2021": [], "due 5 - MAY - 2021": [d(2021, 5, 5)],
+    }
+    each(spark, S.date_readings, cases)
+
+
+def test_numbers_questions_and_buckets(spark):
+    each(spark, lambda c: F.array_join(F.transform(S.numbers_in(c), S.money_text), " "), {"1,234.50 and 7 or 1.25,3.50": "1234.50 7.00 1.25 3.50", "no": ""})
+    asked = {"What is the store name?": "seller_name", "what is the NAME of the pharmacy": "seller_name", "What is the name of the company?": None, "What is the order number?": None, "When was the purchase made?": "issue_date"}
+    asked |= {"What was the grand total?": "total_amount", "what is the total due": None, "What is the VAT?": "vat_amount", "what is the total before tax": "subtotal", "What is the tax number": "seller_trn", "what is the bill no": "invoice_number", None: None}
+    each(spark, S.field_for, asked)
+    got = one(spark, [(x,) for x in (0.0, 0.05, 0.1, 0.12, 0.29, 0.3, 0.99, 1.0, 7.0, None)], "c double", S.bucket(F.col("c")))
+    assert got == ["<0.05", "<0.10", "<0.15", "<0.15", "<0.30", "<0.50", "<1.00", ">=1.00", ">=1.00", None]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -2,8 +2,6 @@
 
 import random
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy
@@ -11,8 +9,6 @@ from ledgerlens.plans.aggregates import ag_question_counts
 from ledgerlens.plans.catalog import load_all
 from ledgerlens.plans.evaluation import ground, sc_ground_truth
 from ledgerlens.plans.projections import so_batch_keys, st_intersect, st_missing_offenders, st_subset
-from ledgerlens.session import TABLES
-from test_oracles import plain
 
 QUERIES, ORACLES = load_all()
 
@@ -24,27 +20,6 @@ def put(spark, folder, **tables):
     return str(folder)
 
 
-def same(df, sql, sf_dir, tables=TABLES):
-    con = duckdb.connect()
-    for t in tables:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    relation = con.sql(sql)
-    columns = sorted(df.columns)
-    at = [relation.columns.index(c) for c in columns]
-    want = sorted(repr(tuple(plain(r[i]) for i in at)) for r in relation.fetchall())
-    assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect()) == want
-
-
-OF_WORDS = "sc_ground wn_segment wn_column_split wn_runs wn_page_dir wn_wrap_join wn_ngrams wn_pairwise ag_gap_histogram sc_bbox_union sc_bucket".split()
-
-
-@pytest.mark.parametrize("name", OF_WORDS)
-def test_all_words(spark, sf_dir, name):
-    """The oracle without the end of its view ``words`` at 64."""
-    whole = ORACLES[name].replace(" WHERE pos < 64", "")
-    same(QUERIES[name](spark, sf_dir), whole, sf_dir)
-
-
 def test_all_words_fuse(spark, sf_dir):
     count = F.ceil(F.size(F.split("text", " ")) / 4)
     want = {r.doc_id: r.n for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", count.alias("n")).collect()}
@@ -99,11 +74,6 @@ def test_whole_questions_and_answers(spark):
     assert sorted(map(tuple, sc_ground_truth(talks).collect())) == [(2, "seller_name", 1), (3, "invoice_number", 2)]
 
 
-@pytest.mark.parametrize(("name", "cut", "whole"), [("ag_question_counts", "substr(text, 1, 24)", "text"), ("sc_ground_truth", "substr(text, 1, 3)", "text")])
-def test_whole_texts(spark, sf_dir, name, cut, whole):
-    same(QUERIES[name](spark, sf_dir), ORACLES[name].replace(cut, whole), sf_dir)
-
-
 def test_sets_of_whole_texts(spark, sf_dir):
     pad = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"]
     texts = {-1: f"{pad[0]} late {pad[1]} late", -2: " ".join(pad), -3: "one", -4: "", -5: "a b\na  a", -6: f"{pad[0]} {pad[0]}"}
