@@ -102,6 +102,10 @@ VIEWS: dict[str, str] = {
                c_custkey % 3 = 0 AS has_embedded_ubl, CAST(1 + c_custkey % 4 AS INT) AS page_count,
                TIMESTAMP '1998-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(c_custkey % 3600 AS INT) AS created_at
         FROM {customer}""",
+    # How each page's text was got; which pages fail is made up but fixed.
+    "page_reads": """
+        SELECT document_id, page, CASE (document_id * 3 + page) % 7 WHEN 0 THEN 'ocr_unsupported_script' WHEN 1 THEN 'empty' WHEN 2 THEN 'ocr_unavailable' WHEN 3 THEN 'ocr' ELSE 'text_layer' END AS source
+        FROM {doc_pages}""",
     "annotations": f"""
         SELECT o_orderkey AS id, o_custkey AS document_id, o_orderdate AS created_at,
                {_case("o_orderkey % 10", STATUSES)} AS status,
@@ -170,9 +174,11 @@ VIEWS: dict[str, str] = {
 }
 #: Views whose text differs by engine.
 SPARK_ONLY = {
+    "doc_pages": "SELECT id AS document_id, explode(sequence(1, page_count)) AS page FROM {docs}",
     "doc_words": "SELECT doc_id, pos, word FROM (SELECT doc_id, posexplode(split(text, ' ')) AS (pos, word) FROM {documents}) w",
 }
 DUCK_ONLY = {
+    "doc_pages": "SELECT id AS document_id, CAST(unnest(generate_series(1, page_count)) AS INT) AS page FROM {docs}",
     "doc_words": """
         SELECT doc_id, pos - 1 AS pos, word FROM (
           SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM {documents}) w""",

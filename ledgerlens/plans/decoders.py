@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.inference import infer
 from ledgerlens.operators.layout import fuse_rows
 from ledgerlens.plans.catalog import op
 from ledgerlens.plans.projections import effective
-from ledgerlens.plans.relations import export_rows
+from ledgerlens.plans.relations import LONG_SQL, export_rows
 from ledgerlens.functions.tokens import sign, verify
 from ledgerlens.sources.decoders import decode_tlv, parse_jsonl, pdf_attachments, qr_payload, read_ground_truth, tlv_text, ubl_fields
-from ledgerlens.sources.sinks import csv_lines, json_text, upsert
+from ledgerlens.session import arrow_pass, materialize, scratch_path
+from ledgerlens.sources.sinks import csv_lines, json_text, upsert, workbook_cells, workbooks
+from ledgerlens.sources.storage import Storage, stored, zip_entries
 
 
 def _xml(inv_header):
@@ -98,7 +106,18 @@ def sink_json(fields):
     return back.select("annotation_id", F.size("r.invoice").cast("long").alias("n"), F.size(F.filter("r.invoice", lambda x: x["value"].isNotNull())).cast("long").alias("filled"))
 
 
-@op("sink_csv", "fields", "annotations", "specs", "corrections")
+_TEXTS = "section key label_en label_ar type value source confidence reviewed_by original_value".split()
+_CSV = "annotation_id section row_index key label_en label_ar type value source confidence bbox_page reviewed_by original_value".split()
+
+
+def _csv_sql(column):
+    if column not in _TEXTS:
+        return f"coalesce(CAST({column} AS VARCHAR), '')"
+    guarded = f"CASE WHEN left({column}, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) AND NOT regexp_full_match({column}, '-[0-9][0-9,]*([.][0-9]+)?') THEN chr(39) || {column} ELSE {column} END"
+    return f"""coalesce(CASE WHEN regexp_matches({guarded}, '[",\\r\\n]') THEN '"' || replace({guarded}, '"', '""') || '"' ELSE {guarded} END, '')"""
+
+
+@op("sink_csv", "fields", "annotations", "specs", "corrections", oracle=f"SELECT annotation_id, position, concat_ws(',', {', '.join(map(_csv_sql, _CSV))}) AS line FROM ({LONG_SQL}) e")
 def sink_csv(fields, annotations, specs, corrections):
     """The long export as CSV lines: text cells guarded and quoted."""
     rows = export_rows(fields, annotations, specs, corrections)
@@ -106,11 +125,15 @@ def sink_csv(fields, annotations, specs, corrections):
     return csv_lines(rows, [c for c in rows.columns if c != "position"], texts).select("annotation_id", "position", "line")
 
 
-@op("sink_xlsx", "fields", "annotations", "specs", "corrections", oracle="""SELECT CASE WHEN f.row_index IS NULL THEN 'Invoice' ELSE 'LineItems' END AS sheet, count(*) AS n FROM {fields} f JOIN {annotations} a ON a.id = f.annotation_id WHERE a.status IN ('confirmed', 'exported') GROUP BY ALL""")
+@op("sink_xlsx", "fields", "annotations", "specs", "corrections", oracle="""SELECT f.annotation_id, CASE WHEN f.row_index IS NULL THEN 'Invoice' ELSE 'LineItems' END AS sheet, count(*) AS n, count(coalesce(f.value_final, f.value_extracted)) AS filled
+  FROM {fields} f JOIN {annotations} a ON a.id = f.annotation_id WHERE a.status IN ('confirmed', 'exported') GROUP BY ALL""")
 def sink_xlsx(fields, annotations, specs, corrections):
-    """Rows of the two sheets that ``write_xlsx`` gets."""
-    rows = export_rows(fields, annotations, specs, corrections)
-    return rows.groupBy(F.when(F.col("section") == "invoice", "Invoice").otherwise("LineItems").alias("sheet")).agg(F.count(F.lit(1)).alias("n"))
+    """A workbook of two sheets for every exportable annotation, written and read back: rows and filled values of each sheet."""
+    rows = export_rows(fields, annotations, specs, corrections).withColumn("sheet", F.when(F.col("section") == "invoice", "Invoice").otherwise("LineItems"))
+    columns = ["row_index", "key", "label_en", "label_ar", "value", "source", "confidence"]
+    cells = workbook_cells(workbooks(rows, "annotation_id", "sheet", "position", columns), "annotation_id").where("row > 0")
+    per = cells.groupBy("annotation_id", "sheet").agg(F.countDistinct("row").alias("n"), F.count_if(F.col("column") == columns.index("value")).alias("filled"))
+    return per
 
 
 @op("sink_xlsx_batch", "fields", "annotations", oracle="""SELECT f.annotation_id, f.row_index, max(coalesce(value_final, value_extracted)) FILTER (WHERE field_key = 'quantity') AS quantity,
@@ -161,15 +184,19 @@ def ud_schema(specs):
     return rows.select(F.col("f.key").alias("field_key"), "position", "f.type", "f.required")
 
 
-@op("ud_infer", "documents", oracle="SELECT doc_id, lang AS reply FROM {documents}")
+_FIRST = "nullif(trim(string_split(text, ' ')[1]), '')"
+
+
+@op("ud_infer", "documents", oracle=f"""SELECT doc_id, ok, CASE WHEN ok THEN CAST(len(string_split(text, ' ')) AS VARCHAR) END AS words, CASE WHEN ok AND lower({_FIRST}) NOT IN ('null', 'none', 'n/a', 'na', '-') THEN {_FIRST} END AS first,
+  CAST(NULL AS VARCHAR) AS tags FROM (SELECT doc_id, text, length(text) % 5 <> 0 AS ok FROM {{documents}}) d""")
 def ud_infer(documents):
-    """The model seam: an injected function over batches (here one that answers with the stored language)."""
+    """The model seam with an injected model: replies in a code fence, every fifth no object; a list is no field text."""
 
-    def chat(batches):
-        for b in batches:
-            yield b.assign(reply=b["lang"])[["doc_id", "reply"]]
+    def chat(prompts):
+        said = lambda p: json.dumps({"words": len(p.split(" ")), "first": p.split(" ")[0], "tags": ["x"]}, ensure_ascii=False)
+        return ["```json\n" + said(p) + "\n```" if len(p) % 5 else "[1]" for p in prompts]
 
-    return documents.select("doc_id", "lang").mapInPandas(chat, "doc_id long, reply string")
+    return infer(documents, "doc_id", F.col("text"), chat, ["words", "first", "tags"])
 
 
 @op("src_pdf_attach", "inv_header", oracle="SELECT CAST(annotation_id AS VARCHAR) AS path, annotation_id % 4 <> 3 AS attached FROM {inv_header}")
@@ -193,3 +220,50 @@ def sc_hmac_token(docs):
 def ud_prune(specs):
     """The seam that could select a document's relevant fields; it keeps all of them."""
     return specs.select("field_key")
+
+
+def _blobs(nation, name):
+    """The nations' names put below a fresh folder of the shared one, by executors; (root, keys)."""
+    root = scratch_path(nation.sparkSession, name)
+    key = F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_nationkey").cast("string"), F.lit(".txt"))
+    return root, materialize(stored(nation.select(key.alias("key"), F.col("n_name").cast("binary").alias("body")), root), f"{name}-keys")
+
+
+@op("src_storage", "nation", oracle="SELECT 'region-' || n_regionkey || '/' || n_nationkey || '.txt' AS key, sha256(n_name) AS digest FROM {nation}")
+def src_storage(nation):
+    """Blobs put by key and got again, both on the executors."""
+    root, keys = _blobs(nation, "blobs")
+
+    def get(batches):
+        store = Storage(root)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([store.get(k) for k in b.column("key").to_pylist()], pa.binary())], names=["key", "body"])
+
+    return arrow_pass(keys.select("key"), get, "key string, body binary").select("key", F.sha2("body", 256).alias("digest"))
+
+
+@op("ud_storage", "nation", oracle="SELECT 'region-' || n_regionkey || '/' || n_nationkey || '.txt' AS key, n_regionkey <> 1 AS kept FROM {nation}")
+def ud_storage(nation):
+    """The storage seam: a prefix is deleted, the others' blobs stay."""
+    root, keys = _blobs(nation, "seam")
+    Storage(root).delete_prefix("region-1")
+
+    def ask(batches):
+        store = Storage(root)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([store.exists(k) for k in b.column("key").to_pylist()], pa.bool_())], names=["key", "kept"])
+
+    return arrow_pass(keys.select("key"), ask, "key string, kept boolean")
+
+
+@op("src_zip_range", "nation", oracle="SELECT 'qa/' || n_nationkey || '.json' AS name, n_name AS text FROM {nation}")
+def src_zip_range(nation):
+    """A zip in the shared folder, its matching entries read by ranges (the archive is made here, as the driver's tables hold none)."""
+    root = scratch_path(nation.sparkSession, "archive")
+    target = io.BytesIO()
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in nation.select("n_nationkey", "n_name").toLocalIterator():
+            z.writestr(f"qa/{r.n_nationkey}.json", r.n_name)
+            z.writestr(f"images/{r.n_nationkey}.jpg", b"no text")
+    Storage(root).put("corpus.zip", target.getvalue())
+    return zip_entries(nation.sparkSession, f"{root}/corpus.zip", r"qa/.*[.]json").select("name", F.col("content").cast("string").alias("text"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy
 from ledgerlens.functions import scalars as S
+from ledgerlens.operators.ranking import global_rank
 from ledgerlens.plans.catalog import op
-from ledgerlens.session import arrow_pass
+from ledgerlens.session import arrow_pass, materialize
 
 AMOUNT_FIELDS, DATE_FIELDS, CODE_FIELDS = ("subtotal", "vat_amount", "total_amount"), ("issue_date",), ("invoice_number", "seller_trn", "buyer_trn")
 FUZZY_FROM, NEAR = 85.0, 0.75
@@ -188,18 +189,39 @@ def sc_ground_truth(conversations):
     return per.where((F.size("answers") == 1) | (F.col("field") == "invoice_number")).select("conv_id", "field", F.size("answers").cast("long").alias("n"))
 
 
-def choose_sample(ids: list, n: int, seed: int) -> list:
-    """A fixed draw of n sorted ids; depends on the seed and the ids alone."""
-    if n > len(ids):
-        raise ValueError(f"asked for {n}, only {len(ids)} are eligible")
-    return sorted(random.Random(seed).sample(sorted(ids), n))
+# What a receipt must answer to be drawn.
+REQUIRED_FIELDS = ("seller_name", "issue_date", "total_amount")
 
 
-@op("sc_sample", "labels")
-def sc_sample(labels):
-    """Fifty held-in documents by a seeded draw over the eligible ids (one id per labelled document, drawn on the driver as the draw is Python's)."""
-    ids = [r["doc_id"] for r in labels.where("quality = 1").select("doc_id").distinct().collect()]
-    return labels.sparkSession.createDataFrame([(i,) for i in choose_sample(ids, min(50, len(ids)), seed=0)], "doc_id long")
+def eligible_receipts(truth: DataFrame, key: str = "annotation_id", field: str = "field_key") -> DataFrame:
+    """The receipts whose ground truth (a row per field that has one) answers every required field."""
+    answered = truth.where(F.col(field).isin(*REQUIRED_FIELDS)).groupBy(key).agg(F.countDistinct(field).alias("n"))
+    return answered.where(F.col("n") == len(REQUIRED_FIELDS)).select(key)
+
+
+def choose_sample(ids: DataFrame, key: str, n: int, seed: int, exclude: DataFrame | None = None) -> DataFrame:
+    """A fixed draw of n of the distinct ids, in order, none of them excluded; depends on the seed and the ids alone.
+
+    The draw is Python's over the places 0 to N - 1 of the sorted ids, which is that over the ids
+    themselves; so only their number and the n places drawn are on the driver.
+    """
+    pool = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    if exclude is not None:
+        pool = pool.join(exclude.select(key), key, "left_anti")
+    ranked = global_rank(pool, [F.asc(key)], "__place")
+    total = ranked.count()
+    if n > total:
+        raise ValueError(f"asked for {n}, only {total} are eligible and not excluded")
+    places = [i + 1 for i in random.Random(seed).sample(range(total), n)]
+    return ranked.where(F.col("__place").isin(places)).select(key)
+
+
+@op("sc_sample", "readings")
+def sc_sample(readings):
+    """A development draw of fifty receipts; the hundred of the test draw are held out."""
+    eligible = materialize(eligible_receipts(readings.where("expected IS NOT NULL")), "eligible")
+    test = choose_sample(eligible, "annotation_id", 100, seed=0)
+    return choose_sample(eligible, "annotation_id", 50, seed=1, exclude=test)
 
 
 #: Words whose comparing form a Python worker keeps.
@@ -261,7 +283,8 @@ def sc_fuzzy_ground(documents, words):
     return ground(values, words)
 
 
-@op("sink_md", "outcomes")
+@op("sink_md", "outcomes", oracle="""SELECT '| ' || coalesce(CAST(run AS VARCHAR), 'All') || ' | ' || coalesce(field, 'All') || ' | ' || count(*) FILTER (WHERE status = 'correct') || '/' || count(*) || ' |' AS line
+  FROM {outcomes} GROUP BY ROLLUP (run, field)""")
 def sink_md(outcomes):
     """The scoreboard as lines of a markdown table (its size is runs times fields, not the input's)."""
     rows = outcomes.rollup("run", "field").agg(F.count_if(F.col("status") == "correct").alias("correct"), F.count(F.lit(1)).alias("n"))

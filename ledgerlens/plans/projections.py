@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranking import global_rank
 from ledgerlens.operators.tenancy import TenantScope
 from ledgerlens.plans.bridge import AS_OF, STALLED_AFTER_S
 from ledgerlens.plans.catalog import op
@@ -348,7 +349,7 @@ def so_findings(findings):
 def so_templates(schemas, queues):
     named = schemas.join(queues.select(F.col("id").alias("queue_id"), F.col("name").alias("queue_name")), "queue_id", "left")
     order = [F.asc_nulls_last("queue_name"), F.desc("version"), F.asc("id")]
-    return named.select("id", "queue_name", "version", F.row_number().over(W.orderBy(*order)).alias("rank"))
+    return global_rank(named.select("id", "queue_name", "version"), order).withColumn("rank", F.col("rank").cast("int"))
 
 
 @op("so_schema_order", "fields", "specs", oracle="""SELECT f.annotation_id, f.field_key, CAST(row_number() OVER (PARTITION BY f.annotation_id ORDER BY coalesce(s.position, 9), f.field_key) AS INT) AS rank

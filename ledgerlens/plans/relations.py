@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import scalars as S
 from ledgerlens.plans.catalog import op
 from ledgerlens.plans.projections import effective, LATEST_SQL, document_states, latest_annotation
 
@@ -46,13 +47,15 @@ def jn_lateral_top1(docs, annotations):
     return document_states(docs, annotations).select("id", "annotation_id", "annotated_at")
 
 
-@op("jn_dup_lookup", "documents", oracle="""WITH h AS (SELECT sha256(text) AS digest, doc_id FROM {documents}), f AS (SELECT digest, min(doc_id) AS first, max(doc_id) AS latest, count(*) AS copies FROM h GROUP BY digest)
-  SELECT h.doc_id, f.first, f.latest, f.copies FROM h JOIN f USING (digest) WHERE f.copies > 1""")
-def jn_dup_lookup(documents):
-    """Documents with a content hash seen more than once, with its first and latest holder."""
-    hashed = documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-    repeated = hashed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return hashed.join(repeated, "digest").select("doc_id", "first", "latest", "copies")
+@op("jn_dup_lookup", "docs", "annotations", oracle="WITH " + LATEST_SQL + """, h AS (SELECT id, sha256(org_id || '/' || queue_id) AS digest FROM {docs}), f AS (SELECT digest, min(id) AS document_id FROM h GROUP BY digest)
+  SELECT h.id, f.document_id, s.annotation_id, s.st AS state FROM h JOIN f ON f.digest = h.digest JOIN state s ON s.id = f.document_id""")
+def jn_dup_lookup(docs, annotations):
+    """The document already stored for an upload's bytes (here its tenant and queue), with its latest annotation and state."""
+    hashed = docs.select("id", F.sha2(F.concat_ws("/", "org_id", F.col("queue_id").cast("string")), 256).alias("digest"))
+    stored = hashed.groupBy("digest").agg(F.min("id").alias("document_id"))
+    states = document_states(docs, annotations).select(F.col("id").alias("document_id"), "annotation_id", F.col("st").alias("state"))
+    # The few stored documents get their state first, so uploads of one content meet one row.
+    return hashed.join(stored.join(states, "document_id"), "digest").select("id", "document_id", "annotation_id", "state")
 
 
 HEADER = ("invoice_number", "seller_name", "total_amount", "currency")
@@ -184,11 +187,9 @@ def jn_run_compare(outcomes):
 @op("jn_theta_labels", "documents", oracle="""SELECT d.doc_id, l.label FROM {documents} d JOIN (VALUES ('Copyright'), ('License'), ('@example'), ('token')) l(label)
   ON contains(replace(replace(lower(d.text), ' ', ''), chr(10), ''), lower(l.label))""")
 def jn_theta_labels(documents):
-    """Labels that a page's text contains, white space apart; the label list is a constant."""
-    spark = documents.sparkSession
-    labels = spark.createDataFrame([(x,) for x in ("Copyright", "License", "@example", "token")], "label string")
-    hay = documents.select("doc_id", F.replace(F.replace(F.lower("text"), F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")).alias("hay"))
-    return hay.join(F.broadcast(labels), F.col("hay").contains(F.lower("label"))).select("doc_id", "label")
+    """Labels that a page's text contains, by the label test itself; the label list is a constant."""
+    labels = F.filter(F.transform(F.array(*map(F.lit, ("Copyright", "License", "@example", "token"))), lambda x: S.label_present(F.array(x), F.col("text"))), lambda x: x.isNotNull())
+    return documents.select("doc_id", F.explode(labels).alias("label"))
 
 
 @op("jn_qr_overlay", "fields", "inv_header", oracle="""WITH q AS (SELECT annotation_id, 'total_amount' AS field_key, qr_total AS qr_value FROM {inv_header} UNION ALL SELECT annotation_id, 'vat_amount', qr_vat FROM {inv_header})
@@ -209,14 +210,17 @@ def jn_qr_overlay(fields, inv_header):
 
 
 # Exports: the flattened long form, the wide form, and the audit rows.
-@op("op_export_long", "fields", "annotations", "specs", "corrections", oracle="WITH " + REVIEWER_SQL + """
+LONG_SQL = "WITH " + REVIEWER_SQL + """
   SELECT f.annotation_id, CASE WHEN f.row_index IS NULL THEN 'invoice' ELSE 'line_item' END AS section, f.row_index, f.field_key AS key, coalesce(s.label_en, '') AS label_en,
     coalesce(s.label_ar, '') AS label_ar, coalesce(s.type, 'string') AS type, coalesce(f.value_final, f.value_extracted) AS value, f.source, CAST(f.confidence AS VARCHAR) AS confidence,
     f.bbox_page, CAST(CASE WHEN r.n IS NOT NULL THEN r.user_id ELSE a.confirmed_by END AS VARCHAR) AS reviewed_by, f.value_extracted AS original_value,
     CAST(row_number() OVER (PARTITION BY f.annotation_id ORDER BY CASE WHEN f.row_index IS NULL THEN 0 ELSE 1 END, f.row_index, coalesce(s.position, 9), f.field_key) AS INT) AS position
   FROM {fields} f JOIN {annotations} a ON a.id = f.annotation_id LEFT JOIN {specs} s ON s.field_key = f.field_key
   LEFT JOIN reviewers r ON r.annotation_id = f.annotation_id AND r.field_key = f.field_key AND r.row_index IS NOT DISTINCT FROM f.row_index
-  WHERE a.status IN ('confirmed', 'exported')""")
+  WHERE a.status IN ('confirmed', 'exported')"""
+
+
+@op("op_export_long", "fields", "annotations", "specs", "corrections", oracle=LONG_SQL)
 def op_export_long(fields, annotations, specs, corrections):
     return export_rows(fields, annotations, specs, corrections)
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
+from ledgerlens.operators import pages
 from ledgerlens.operators.messages import MESSAGES
 from ledgerlens.operators.rules import LINE, run_rules
 from ledgerlens.plans.catalog import op
-from ledgerlens.plans.projections import effective
+from ledgerlens.plans.projections import effective, latest_annotation
 
 NUMERIC_KEYS = ("subtotal", "vat_amount", "total_amount")
 
@@ -145,16 +146,22 @@ def rule_messages(*views):
     return run_rules(context(*views)).where("NOT passed")
 
 
-@op("page_findings", "fields", "docs", oracle="""WITH p AS (SELECT id AS document_id, page_count, id % 5 = 0 AS empty_page, id % 7 = 0 AS unsupported FROM {docs})
-  SELECT document_id, CASE WHEN unsupported THEN 'OCR_SCRIPT_UNSUPPORTED' ELSE 'PAGE_TEXT_EMPTY' END AS rule_code,
-    CASE WHEN unsupported AND (page_count = 1 OR document_id % 3 = 0) THEN 'error' ELSE 'warning' END AS severity FROM p WHERE empty_page OR unsupported""")
-def page_findings(fields, docs):
-    """A degraded page's finding: an error only for an unreadable script where no page is usable or a required field is missing."""
-    unsupported, empty = F.col("id") % 7 == 0, F.col("id") % 5 == 0
-    any_usable, missing_required = F.col("page_count") > 1, F.col("id") % 3 == 0
-    blocking = unsupported & (~any_usable | missing_required)
-    rows = docs.where(unsupported | empty)
-    return rows.select(F.col("id").alias("document_id"), F.when(unsupported, "OCR_SCRIPT_UNSUPPORTED").otherwise("PAGE_TEXT_EMPTY").alias("rule_code"), F.when(blocking, "error").otherwise("warning").alias("severity"))
+@op("page_findings", "page_reads", "annotations", "fields", "specs", oracle="""WITH newest AS (SELECT id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS n FROM {annotations}) a WHERE n = 1),
+  lacking AS (SELECT DISTINCT n.document_id FROM newest n CROSS JOIN {specs} s LEFT JOIN {fields} f ON f.annotation_id = n.id AND f.field_key = s.field_key AND f.row_index IS NULL
+    WHERE s.required AND trim(coalesce(f.value_final, f.value_extracted, '')) = ''),
+  usable AS (SELECT document_id, bool_or(source IN ('text_layer', 'ocr')) AS any FROM {page_reads} GROUP BY document_id)
+  SELECT p.document_id, p.page, CASE source WHEN 'empty' THEN 'PAGE_TEXT_EMPTY' WHEN 'ocr_unavailable' THEN 'OCR_ENGINE_UNAVAILABLE' ELSE 'OCR_SCRIPT_UNSUPPORTED' END AS rule_code,
+    CASE WHEN source = 'ocr_unsupported_script' AND (NOT u.any OR l.document_id IS NOT NULL) THEN 'error' ELSE 'warning' END AS severity
+  FROM {page_reads} p JOIN usable u ON u.document_id = p.document_id LEFT JOIN lacking l ON l.document_id = p.document_id WHERE source NOT IN ('text_layer', 'ocr')""")
+def page_findings(page_reads, annotations, fields, specs):
+    """Findings of the pages that couldn't be read; the newest annotation tells whether a required field is missing."""
+    newest = latest_annotation(annotations).select(F.col("id").alias("annotation_id"), "document_id")
+    required = specs.where("required").select("field_key")
+    given = fields.where("row_index IS NULL").where(F.trim(F.coalesce(effective(), F.lit(""))) != "").join(F.broadcast(required), "field_key", "left_semi")
+    counts = given.groupBy("annotation_id").agg(F.countDistinct("field_key").alias("given"))
+    wanted = required.agg(F.count(F.lit(1)).alias("wanted"))
+    lacking = newest.join(counts, "annotation_id", "left").join(F.broadcast(wanted)).where(F.coalesce("given", F.lit(0)) < F.col("wanted"))
+    return pages.page_findings(page_reads, lacking).select("document_id", "page", "rule_code", "severity")
 
 
 @op("sink_replace", "findings", *USES, oracle="""SELECT annotation_id, rule_code, count(*) AS n FROM (SELECT annotation_id, rule_code FROM {findings} WHERE rule_code IN ('SUSPICIOUS_DOCUMENT_CONTENT', 'PIPELINE_FAILED')

@@ -43,6 +43,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         chosen = sc._jsc.sc().getCheckpointDir()
         root = chosen.get() if chosen.isDefined() else None
+    if not root and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="ledgerlens-shared-")
         sc.setCheckpointDir(root)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import zipfile
+from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,23 +57,61 @@ def _cell(value) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
-def write_xlsx(path: str, sheets: dict[str, DataFrame]) -> None:
-    """A workbook with a sheet per frame: text cells typed as text (never a formula), numbers as numbers."""
+def _write_workbook(target, sheets: dict[str, tuple[list[str], Iterable]]) -> None:
     main = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         n = len(sheets)
         z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, n + 1)) + "</Types>")
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{main}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{main}"><sheets>' + "".join(f'<sheet name="{escape(name)}" sheetId="{i}" r:id="rId{i}"/>' for i, name in enumerate(sheets, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{main}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, n + 1)) + "</Relationships>")
-        for i, df in enumerate(sheets.values(), 1):
+        for i, (columns, rows) in enumerate(sheets.values(), 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
-                out.write((_SHEET + "<row>" + "".join(_cell(c) for c in df.columns) + "</row>").encode())
-                for r in df.toLocalIterator():
+                out.write((_SHEET + "<row>" + "".join(map(_cell, columns)) + "</row>").encode())
+                for r in rows:
                     out.write(("<row>" + "".join(map(_cell, r)) + "</row>").encode())
                 out.write(b"</sheetData></worksheet>")
 
 
+def write_xlsx(path: str, sheets: dict[str, DataFrame]) -> None:
+    """A workbook with a sheet per frame: text cells typed as text (never a formula), numbers as numbers."""
+    _write_workbook(path, {name: (df.columns, df.toLocalIterator()) for name, df in sheets.items()})
+
+
+def workbooks(rows: DataFrame, key: str, sheet: str, order: str, columns: list[str]) -> DataFrame:
+    """``key``, content: a workbook per key, made where its rows are; ``sheet`` names each row's sheet."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def book(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.sort_values(order)
+        cells = own[columns].astype(object).where(own[columns].notna(), None)
+        held = {name: (columns, cells[own[sheet] == name].itertuples(index=False)) for name in dict.fromkeys(own[sheet])}
+        target = io.BytesIO()
+        _write_workbook(target, held)
+        return pd.DataFrame({key: [part[key].iloc[0]], "content": [target.getvalue()]})
+
+    return rows.select(key, sheet, order, *columns).groupBy(key).applyInPandas(book, f"{key} {kind}, content binary")
+
+
+def workbook_cells(books: DataFrame, key: str) -> DataFrame:
+    """``key``, sheet, row (0: the names), column, value of every filled cell of workbooks."""
+    kind = books.schema[key].dataType.simpleString()
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for own, content in zip(b[key], b["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
+                    for i, name in enumerate(names, 1):
+                        for row, cells in enumerate(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{ns}row")):
+                            found += [(own, name, row, at, "".join(c.itertext())) for at, c in enumerate(cells) if len(c)]
+            yield pd.DataFrame(found, columns=[key, "sheet", "row", "column", "value"])
+
+    return books.select(key, "content").mapInPandas(run, f"{key} {kind}, sheet string, row int, column int, value string")
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows, replaced by fresh ones of the same key (nulls in keys are equal), plus the new ones."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
@@ -78,9 +120,8 @@ def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_markdown(df: DataFrame, path: str) -> None:
-    """A small aggregate as a markdown table."""
-    rows = df.collect()
+    """An aggregate as a markdown table, row by row."""
     with open(path, "w", encoding="utf-8") as out:
         out.write("| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns) + "\n")
-        for r in rows:
+        for r in df.toLocalIterator():
             out.write("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n")

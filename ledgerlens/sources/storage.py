@@ -20,11 +20,17 @@ def check_key(key: str) -> str:
     return key
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and the path in it; plain paths and ``file:/x`` are local."""
+    local = uri.removeprefix("file:") if uri.startswith("file:") and "://" not in uri else uri
+    return pafs.FileSystem.from_uri(local if "://" in local else f"file://{local}")
+
+
 class Storage:
     """put, get, exists and delete_prefix below a root URI."""
 
     def __init__(self, root: str) -> None:
-        self.fs, self.root = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        self.fs, self.root = file_system(root)
 
     def _path(self, key: str) -> str:
         return f"{self.root.rstrip('/')}/{check_key(key)}"
@@ -48,18 +54,31 @@ class Storage:
             self.fs.delete_dir(path) if self.fs.get_file_info(path).type == pafs.FileType.Directory else self.fs.delete_file(path)
 
 
+def stored(blobs: DataFrame, root: str) -> DataFrame:
+    """Put (key, body) rows below ``root``, each by the task that holds it; gives the keys. A task run again puts the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Storage(root)
+        for batch in batches:
+            for key, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                store.put(key, body)
+            yield pa.RecordBatch.from_arrays([batch.column("key")], names=["key"])
+
+    return blobs.select("key", "body").mapInArrow(run, "key string")
+
+
 def zip_entries(spark: SparkSession, uri: str, pattern: str, tasks: int = 8) -> DataFrame:
     """name, content of a remote zip's entries whose names match; each task range-reads its own entries.
 
     Only the archive's directory is read on the driver.
     """
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = file_system(uri)
     with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
         names = [(i.filename,) for i in z.infolist() if re.fullmatch(pattern, i.filename)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own_fs, own_path = pafs.FileSystem.from_uri(uri)
+            own_fs, own_path = file_system(uri)
             with own_fs.open_input_file(own_path) as f, zipfile.ZipFile(f) as z:
                 for name in batch.column("name").to_pylist():
                     yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([z.read(name)], pa.binary())})
