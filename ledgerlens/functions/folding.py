@@ -2,18 +2,15 @@
 
 The canonical form is NFKC with invisible characters out, dashes, spaces and digits
 folded and white space single; the match form folds interchangeable letters and case
-too. ``canonical_text`` and ``match_text`` are the definition. The columns give the
-same in the JVM: plain ASCII by lower-casing alone, other text by a table of what each
-character becomes (made from the definition), then by pairs of a letter and a mark
-that NFKC composes. Only Hangul jamo and letters with several marks stay as they were.
+too. ``canonical_text`` and ``match_text`` are the definition; the columns give the same in
+the JVM, where the Unicode library that Spark brings along composes and folds. Plain
+ASCII text is only lower-cased.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
-from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,53 +50,24 @@ def match_text(text: str | None) -> str | None:
     return None if text is None else _matched(canonical_text(text))
 
 
-#: Planes beyond the first in which compatibility forms lie.
-_ASTRAL = (range(0x1D400, 0x1D800), range(0x1EE00, 0x1EF00), range(0x1F100, 0x1F300), range(0x2F800, 0x2FA20))
+def _translation(table: dict[int, str | None]) -> tuple[str, str]:
+    """(from, to) as ``translate`` takes them: what is dropped comes last."""
+    kept = {k: v for k, v in table.items() if v is not None}
+    return "".join(map(chr, [*kept, *(k for k in table if k not in kept)])), "".join(kept.values())
 
 
-@cache
-def _tables(match: bool) -> tuple[str, str, str, str, str]:
-    """(from, to) of a translation, a JSON map of the characters that become several, their class, and a JSON map of pairs."""
-    own = _matched if match else str
-    single, gone, several, pairs = {}, [], {}, {}
-    for part in (range(0xD800), range(0xE000, 0x10000), *_ASTRAL):
-        for code in part:
-            ch = chr(code)
-            to = "".join(" " if x.isspace() else x for x in own(_folded(ch)))
-            if to != ch:
-                if not to:
-                    gone.append(ch)
-                elif len(to) == 1 and code < 0x10000:
-                    single[ch] = to
-                else:
-                    several[ch] = to
-            apart = unicodedata.normalize("NFD", ch)
-            if len(apart) >= 2 and unicodedata.normalize("NFC", ch) == ch and unicodedata.combining(apart[-1]):
-                base = own(_folded(unicodedata.normalize("NFC", apart[:-1])))
-                if len(to) == 1 and len(base) == 1:
-                    pairs[base + apart[-1]] = to
-    escape = lambda ch: f"\\x{{{ord(ch):X}}}"
-    return "".join(single) + "".join(gone), "".join(single.values()), json.dumps(several), "[" + "".join(map(escape, several)) + "]", json.dumps(pairs)
-
-
-def _single_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
+def _icu(kind: str, method: str, c: Column) -> Column:
+    """A static method of the Unicode library that Spark brings along."""
+    return F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), c, F.lit(True))
 
 
 def _form(c: Column, match: bool) -> Column:
-    source, target, several, wide, pairs = _tables(match)
-    lookup = lambda table, key: F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), key)
-    spread = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(lookup(several, ch), ch)), "")
-    mapped = F.translate(F.when(c.rlike(wide), spread).otherwise(c), source, target)
-
-    def compose(text: Column, ch: Column) -> Column:
-        pair = F.concat(F.right(text, F.lit(1)), ch)
-        one = F.when(ch.rlike(r"\p{M}"), lookup(pairs, pair))
-        return F.when(one.isNotNull(), F.concat(F.left(text, F.length(text) - 1), one)).otherwise(F.concat(text, ch))
-
-    composed = F.get(F.transform(F.array(mapped), lambda m: F.when(m.rlike(r"\p{M}"), F.aggregate(F.split(m, ""), F.lit(""), compose)).otherwise(m)), F.lit(0))
-    plain = ~c.rlike(r"[^\x09-\x0D\x20-\x7E]")
-    return F.when(plain, _single_spaces(F.lower(c) if match else c)).otherwise(_single_spaces(composed))
+    folded = F.translate(_icu("text.Normalizer", "compose", c), *_translation(_FOLD | _MARKS))
+    full = F.trim(F.regexp_replace(folded, r"(?U)[\s\x1C-\x1F]+", " "))
+    if match:
+        full = _icu("lang.UCharacter", "foldCase", F.translate(full, *_translation(_LETTERS)))
+    plain = F.trim(F.regexp_replace(F.lower(c) if match else c, r"[ \t\n\x0B\f\r]+", " "))
+    return F.when(~c.rlike(r"[^\x09-\x0D\x20-\x7E]"), plain).when(c.isNotNull(), full)
 
 
 def canonical(c: Column) -> Column:

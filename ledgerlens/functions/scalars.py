@@ -307,60 +307,65 @@ def date_readings(c: Column) -> Column:
     month leaves its shape without a date.
     """
     text = F.lower(canonical(c))
-    gaps = F.regexp_extract_all(text, F.lit("([^0-9a-z]*)([0-9]+|[a-z]+)"), 1)
-    runs = F.regexp_extract_all(text, F.lit("([^0-9a-z]*)([0-9]+|[a-z]+)"), 2)
+    gaps, runs = (F.regexp_extract_all(text, F.lit("([^0-9a-z]*)([0-9]+|[a-z]+)"), i) for i in (1, 2))
     month_of = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS, 1) for name in names.split() for x in (name, i)])
 
+    def item(gap: Column, run: Column) -> Column:
+        """A run with its length as a number or as a word, and what its gap allows."""
+        numeric, n = run.rlike("^[0-9]"), F.length(run)
+        bare = F.translate(gap, " \t\n\x0b\f\r", "")
+        of = lambda marks: F.translate(bare, marks, "") == ""
+        return F.struct(
+            run.alias("run"), F.when(numeric, n).alias("number"), F.when(~numeric, n).alias("word"), gap.isin(*DATE_MARKS).alias("marked"),
+            of("-/.").alias("to_name"), of("-/.,").alias("from_name"), of(".").alias("to_day"), (of(",") & (gap != "")).alias("to_year"), ((gap == "") & run.isin(*ORDINALS)).alias("ordinal"),
+        )
+
     def readings(items: Column) -> Column:
-        at = lambda i, k: F.get(items, i + k)
-        size = lambda x: F.length(x["run"])
-        digits_ = lambda x, *sizes: x["digits"] & size(x).isin(*sizes)
-        marked = lambda x: x["gap"].isin(*DATE_MARKS)
-        spaced = lambda x, marks: F.translate(x["gap"], " \t\n\x0b\f\r" + marks, "") == ""
-        word = lambda x: ~x["digits"] & (size(x) >= 3)
-
-        def first(shape: Callable[[Column], Column]) -> Column:
+        at = lambda i, k: F.get(items, i + k) if k else F.get(items, i)
+        year_size = lambda x: x["number"].isin(2, 4)
+        kept = lambda dates: F.filter(dates, lambda d: d.isNotNull())
+
+        def first(shape: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
             places = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)))
-            return F.get(F.filter(places, lambda i: F.coalesce(shape(i), F.lit(False))), F.lit(0))
+            found = F.get(F.filter(places, lambda i: F.coalesce(shape(i), F.lit(False))), F.lit(0))
+            return let(found, lambda i: F.when(i.isNotNull(), then(i)))
 
         def real(y: Column, m: Column, d: Column) -> Column:
-            year = F.when(F.length(y["run"]) == 2, F.concat(F.lit("20"), y["run"])).otherwise(y["run"])
+            year = F.when(y["number"] == 2, F.concat(F.lit("20"), y["run"])).otherwise(y["run"])
             return F.try_to_date(F.concat_ws("-", year, m, d["run"]), "yyyy-M-d")
 
-        kept = lambda dates: F.filter(dates, lambda d: d.isNotNull())
-
-        def named(i: Column, name: Column, day: Column, year: Column) -> Column:
+        def named(name: Column, day: Column, year: Column) -> Column:
             month = F.try_element_at(month_of, F.right(name["run"], F.lit(9))).cast("string")
-            return F.when(i.isNotNull() & month.isNotNull(), kept(F.array(real(year, month, day))))
+            return F.when(month.isNotNull(), kept(F.array(real(year, month, day))))
+
+        def numbers(i: Column) -> list[Column]:
+            return [at(i, k) for k in range(3)]
 
         def year_first(i: Column) -> Column:
-            return digits_(at(i, 0), 4) & digits_(at(i, 1), 1, 2) & digits_(at(i, 2), 1, 2) & marked(at(i, 1)) & marked(at(i, 2))
+            y, m, d = numbers(i)
+            return (y["number"] == 4) & (m["number"] <= 2) & (d["number"] <= 2) & m["marked"] & d["marked"]
 
         def year_last(i: Column) -> Column:
-            return digits_(at(i, 0), 1, 2) & digits_(at(i, 1), 1, 2) & digits_(at(i, 2), 2, 4) & marked(at(i, 1)) & marked(at(i, 2))
+            a, b, y = numbers(i)
+            return (a["number"] <= 2) & (b["number"] <= 2) & year_size(y) & b["marked"] & y["marked"]
 
         def day_name(i: Column) -> Column:
-            return digits_(at(i, 0), 1, 2) & word(at(i, 1)) & (size(at(i, 1)) <= 9) & digits_(at(i, 2), 2, 4) & spaced(at(i, 1), "-/.") & spaced(at(i, 2), "-/.,")
-
-        def year_after(i: Column, k: int) -> Column:
-            return digits_(at(i, k), 2, 4) & spaced(at(i, k), ",") & (at(i, k)["gap"] != "")
+            d, m, y = numbers(i)
+            return (d["number"] <= 2) & m["word"].between(3, 9) & year_size(y) & m["to_name"] & y["from_name"]
 
         def name_day(i: Column) -> Column:
-            ordinal = at(i, 2)["run"].isin(*ORDINALS) & (at(i, 2)["gap"] == "") & year_after(i, 3)
-            return word(at(i, 0)) & digits_(at(i, 1), 1, 2) & spaced(at(i, 1), ".") & (year_after(i, 2) | F.coalesce(ordinal, F.lit(False)))
-
-        def by_names(i: Column) -> Column:
-            return named(i, at(i, 1), at(i, 0), at(i, 2))
-
-        def by_name_first(i: Column) -> Column:
-            return named(i, at(i, 0), at(i, 1), F.when(at(i, 2)["digits"], at(i, 2)).otherwise(at(i, 3)))
-
-        iso = let(first(year_first), lambda i: F.when(i.isNotNull(), kept(F.array(real(at(i, 0), at(i, 1)["run"], at(i, 2))))))
-        either = let(first(year_last), lambda i: F.when(i.isNotNull(), kept(F.array(real(at(i, 2), at(i, 1)["run"], at(i, 0)), real(at(i, 2), at(i, 0)["run"], at(i, 1))))))
-        names = [let(first(day_name), by_names), let(first(name_day), by_name_first)]
-        return F.coalesce(iso, either, *names)
+            m, d, y = numbers(i)
+            later = at(i, 3)
+            plain, ordinal = year_size(y) & y["to_year"], y["ordinal"] & year_size(later) & later["to_year"]
+            return (m["word"] >= 3) & (d["number"] <= 2) & d["to_day"] & (F.coalesce(plain, F.lit(False)) | ordinal)
+
+        return F.coalesce(
+            first(year_first, lambda i: kept(F.array(real(at(i, 0), at(i, 1)["run"], at(i, 2))))),
+            first(year_last, lambda i: kept(F.array(real(at(i, 2), at(i, 1)["run"], at(i, 0)), real(at(i, 2), at(i, 0)["run"], at(i, 1))))),
+            first(day_name, lambda i: named(at(i, 1), at(i, 0), at(i, 2))),
+            first(name_day, lambda i: named(at(i, 0), at(i, 1), F.when(at(i, 2)["ordinal"], at(i, 3)).otherwise(at(i, 2)))),
+        )
 
-    item = lambda gap, run: F.struct(gap.alias("gap"), run.alias("run"), run.rlike("^[0-9]").alias("digits"))
     found = let(F.zip_with(gaps, runs, item), readings)
     return F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<date>"))
 

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import TABLES, table
+from ledgerlens.session import TABLES, materialize, table
 
 #: The instant that stands for the present; results never depend on the wall clock.
 AS_OF = "TIMESTAMP '1998-01-01 01:00:00'"
@@ -192,12 +192,28 @@ def _uses(text: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(text)))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A bridge view (or a plain table) as a DataFrame."""
+#: Views that cost a shuffle of the largest table: written once where a query needs them several times.
+SHARED = ("inv_header",)
+
+
+def shared_views(spark: SparkSession, sf_dir: str, uses: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The shared views that ``uses`` need more than once, as written tables."""
+    texts = {**VIEWS, **SPARK_ONLY}
+
+    def times(name: str, wanted: str) -> int:
+        return 1 if name == wanted else sum(times(n, wanted) for n in _uses(texts[name])) if name in texts else 0
+
+    return {n: materialize(view(spark, sf_dir, n), n) for n in SHARED if sum(times(u, n) for u in uses) > 1}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A bridge view (or a plain table) as a DataFrame; views in ``held`` are taken from there."""
+    if held and name in held:
+        return held[name]
     if name in TABLES:
         return table(spark, sf_dir, name)
     text = {**VIEWS, **SPARK_ONLY}[name]
-    frames = {n: view(spark, sf_dir, n) for n in _uses(text)}
+    frames = {n: view(spark, sf_dir, n, held) for n in _uses(text)}
     return spark.sql(_EXPLODE.sub(r"explode(array(\1))", text), **frames)
 
 

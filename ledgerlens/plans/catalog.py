@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans.bridge import duck_sql, view
+from ledgerlens.plans.bridge import duck_sql, shared_views, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,8 @@ def op(name: str, *uses: str, oracle: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(view(spark, sf_dir, u) for u in uses)) if uses else f(spark)
+            held = shared_views(spark, sf_dir, uses)
+            return f(*(view(spark, sf_dir, u, held) for u in uses)) if uses else f(spark)
 
         QUERIES[name] = run
         if oracle is not None:

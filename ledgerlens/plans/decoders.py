@@ -199,13 +199,22 @@ def ud_infer(documents):
     return infer(documents, "doc_id", F.col("text"), chat, ["words", "first", "tags"])
 
 
-@op("src_pdf_attach", "inv_header", oracle="SELECT CAST(annotation_id AS VARCHAR) AS path, annotation_id % 4 <> 3 AS attached FROM {inv_header}")
+@op("src_pdf_attach", "inv_header", oracle="""SELECT CAST(annotation_id AS VARCHAR) AS path, CASE WHEN annotation_id % 8 IN (0, 1, 2, 4, 5) THEN 'INV-' || annotation_id END AS number, annotation_id % 8 = 7 AS malformed FROM {inv_header}""")
 def src_pdf_attach(inv_header):
-    """Files with an embedded invoice (every fourth has none); on a cluster the files come from the ``binaryFile`` source."""
-    pdf = F.concat(F.lit("%PDF-1.7\n1 0 obj<</Type /EmbeddedFile>>stream\n"), F.when(F.col("path").cast("long") % 4 == 3, "plain text").otherwise(F.col("xml")), F.lit("\nendstream endobj"))
-    files = _xml(inv_header).select(F.col("annotation_id").cast("string").alias("path"), F.replace("xml", F.lit("<!DOCTYPE"), F.lit("<?xml version='1.0'?><!DOCTYPE")).alias("xml"))
-    files = files.select("path", F.replace("xml", F.lit("<u:Invoice"), F.lit("<Invoice")).alias("xml"))
-    return pdf_attachments(files.select("path", pdf.cast("binary").alias("content"))).select("path", F.col("xml").isNotNull().alias("attached"))
+    """PDFs with an invoice in the catalog's tree (by name or by content) or on a page, with a text file, with nothing, and no PDF at all; on a cluster they come from the ``binaryFile`` source."""
+    k = F.col("annotation_id") % 8
+    # A specification's name, and whether it hangs in the tree (and not on a page).
+    name = F.when(k.isin(0, 4), "invoice.XML").when(k == 3, "notes.txt").otherwise("attachment.bin")
+    body = F.when(k == 3, F.lit("plain text")).otherwise(F.concat(F.lit("<?xml version='1.0'?><Invoice><ID>INV-"), F.col("annotation_id").cast("string"), F.lit("</ID></Invoice>")))
+    tree = F.when(k.isin(0, 1, 2, 3), F.concat(F.lit("/Names << /EmbeddedFiles << /Kids [ 4 0 R ] >> >>"))).otherwise(F.lit(""))
+    notes = F.when(k.isin(4, 5), F.lit("/Annots [ << /Subtype /FileAttachment /FS 5 0 R >> ]")).otherwise(F.lit(""))
+    pdf = F.concat(
+        F.when(k == 7, "no file at all\n").otherwise("%PDF-1.7\n"), F.when(k == 7, "").otherwise(F.concat(F.lit("1 0 obj << /Type /Catalog /Pages 2 0 R "), tree, F.lit(" >> endobj\n"))),
+        F.lit("2 0 obj << /Type /Pages /Kids [ 3 0 R ] >> endobj\n3 0 obj << /Type /Page "), notes, F.lit(" >> endobj\n4 0 obj << /Names [ ("), name, F.lit(") 5 0 R ] >> endobj\n5 0 obj << /Type /Filespec /UF ("),
+        name, F.lit(") /EF << /F 6 0 R >> >> endobj\n6 0 obj << /Length "), F.octet_length(body).cast("string"), F.lit(" >>\nstream\n"), body, F.lit("\nendstream endobj\ntrailer << /Root 1 0 R >>\n"),
+    )
+    got = pdf_attachments(inv_header.select(F.col("annotation_id").cast("string").alias("path"), pdf.cast("binary").alias("content")))
+    return got.select("path", F.nullif(F.regexp_extract("xml", "<ID>(.*)</ID>", 1), F.lit("")).alias("number"), "malformed")
 
 
 @op("sc_hmac_token", "docs", oracle="SELECT id, CASE WHEN id % 3 = 0 THEN filename END AS payload FROM {docs}")

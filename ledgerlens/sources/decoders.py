@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
+from ledgerlens.sources.pdf import MalformedPdf, embedded_xml
 
 _PARTY = "struct<Party:struct<PartyLegalEntity:struct<RegistrationName:string>,PartyTaxScheme:struct<CompanyID:string>,PostalAddress:struct<StreetName:string,BuildingNumber:string,CityName:string,PostalZone:string,Country:struct<IdentificationCode:string>>>>"
 #: The parts of a UBL invoice that are read; names are matched without their prefix.
@@ -124,79 +123,20 @@ def read_ground_truth(df: DataFrame, json: str = "json") -> DataFrame:
     return last.select("document_id", F.explode("fields").alias("field_key", "expected"))
 
 
-_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)(?=stream\r?\n|endobj|\Z)(stream\r?\n)?", re.S)
-_FILE = re.compile(rb"/EF\s*<<.*?/U?F\s+(\d+)\s+\d+\s+R.*?>>", re.S)
-_FILE_NAME = re.compile(rb"/U?F\s*(?:\(((?:\\.|[^\\)])*)\)|<([0-9A-Fa-f\s]*)>)", re.S)
-_XML_HEADS = (b"<?xml", b"<Invoice", b"<ubl:")
-
+def pdf_attachments(files: DataFrame) -> DataFrame:
+    """path, xml, malformed of PDFs read by the ``binaryFile`` source (xml null without an attachment, malformed for what is no PDF)."""
 
-def _unpacked(head: bytes, pdf: bytes, at: int) -> bytes | None:
-    """The whole stream that begins at ``at``; None for a broken one."""
-    length = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)\b", head)
-    end = at + int(length[1]) if length else -1
-    if end < 0 or not pdf[end : end + 11].lstrip().startswith(b"endstream"):
-        end = pdf.find(b"endstream", at)
-    raw = pdf[at : end if end >= 0 else len(pdf)]
-    if b"/FlateDecode" in head:
+    def found(content: bytes | None) -> tuple[str | None, bool]:
         try:
-            raw = zlib.decompressobj().decompress(raw)
-        except zlib.error:
-            return None
-    return raw
-
-
-def _packed_objects(head: bytes, body: bytes) -> Iterator[bytes]:
-    """The objects of an object stream."""
-    first = re.search(rb"/First\s+(\d+)", head)
-    if first:
-        at = [int(first[1]) + int(x) for x in re.findall(rb"\d+\s+(\d+)", body[: int(first[1])])]
-        yield from (body[lo:hi] for lo, hi in zip(at, [*at[1:], len(body)], strict=True))
-
-
-def _names_xml(spec: bytes) -> bool:
-    for text, digits in _FILE_NAME.findall(spec):
-        name = bytes.fromhex((digits + b"0" * (len(b"".join(digits.split())) % 2)).decode()) if digits else text
-        if name.replace(b"\0", b"").lower().endswith(b".xml"):
-            return True
-    return False
-
-
-def embedded_xml(pdf: bytes) -> bytes | None:
-    """The first file of a PDF that is named *.xml or begins like XML; a broken stream is skipped.
-
-    File specifications (also in object streams) come first, in the order of the file,
-    then streams typed as embedded files that none of them names.
-    """
-    streams: dict[int, tuple[bytes, int]] = {}
-    specs, typed = [], []
-    at = 0
-    while m := _OBJECT.search(pdf, at):
-        at, head = m.end(), m[2]
-        if not m[3]:
-            specs.append(head)
-            continue
-        streams[int(m[1])] = (head, m.end())
-        if re.search(rb"/Type\s*/ObjStm\b", head):
-            specs += _packed_objects(head, _unpacked(head, pdf, m.end()) or b"")
-        elif re.search(rb"/Type\s*/EmbeddedFile\b", head):
-            typed.append((False, head, m.end()))
-        length = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)\b", head)
-        end = at + int(length[1]) if length else at
-        at = end if pdf[end : end + 11].lstrip().startswith(b"endstream") else max(at, pdf.find(b"endstream", at))
-    named = [(_names_xml(spec), *streams[int(f[1])]) for spec in specs for f in _FILE.finditer(spec) if int(f[1]) in streams]
-    for is_xml, head, start in named + typed:
-        raw = _unpacked(head, pdf, start)
-        if raw and (is_xml or raw.lstrip(b"\xef\xbb\xbf \r\n\t").startswith(_XML_HEADS)):
-            return raw.rstrip(b"\r\n")
-    return None
-
-
-def pdf_attachments(files: DataFrame) -> DataFrame:
-    """path, xml of PDFs read by the ``binaryFile`` source (xml null without an attachment)."""
+            xml = embedded_xml(content or b"")
+        except MalformedPdf:
+            return None, True
+        return (xml.decode("utf-8", "replace") if xml else None), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [embedded_xml(c.as_py()) for c in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([f.decode("utf-8", "replace") if f else None for f in found], pa.string())], names=["path", "xml"])
+            for i in range(batch.num_rows):  # a file at a time
+                xml, malformed = found(batch.column("content")[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([xml], pa.string()), pa.array([malformed])], names=["path", "xml", "malformed"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, xml string")
+    return files.select("path", "content").mapInArrow(run, "path string, xml string, malformed boolean")

@@ -2,7 +2,6 @@
 
 import base64
 import zipfile
-import zlib
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -14,7 +13,7 @@ from ledgerlens.plans.aggregates import accuracy, document_stats
 from ledgerlens.plans.evaluation import ground
 from ledgerlens.plans.projections import document_states
 from ledgerlens.sources import sinks
-from ledgerlens.sources.decoders import decode_tlv, embedded_xml, pdf_attachments, qr_payload, tlv_text, ubl_fields
+from ledgerlens.sources.decoders import decode_tlv, qr_payload, tlv_text, ubl_fields
 from ledgerlens.streaming.ingest import debounced, dedupe_ingest, stalled_documents
 
 
@@ -40,16 +39,6 @@ def test_ubl(spark):
     assert not any(got[i].well_formed for i in (1, 2, 3)) and got[4].invoice_number is None
 
 
-def test_pdf_attachment(spark, tmp_path):
-    xml = b"<?xml version='1.0'?><Invoice/>"
-    stream = lambda body, extra=b"": b"1 0 obj<</Type /EmbeddedFile" + extra + b">>stream\n" + body + b"\nendstream endobj\n"
-    pdf = b"%PDF-1.7\n" + stream(b"junk", b" /Filter /FlateDecode") + stream(b"plain text") + stream(zlib.compress(xml), b" /Filter /FlateDecode")
-    assert embedded_xml(pdf) == xml and embedded_xml(b"%PDF-1.7 nothing") is None
-    (tmp_path / "a.pdf").write_bytes(pdf)
-    files = spark.read.format("binaryFile").load(str(tmp_path / "*.pdf"))
-    assert [r.xml for r in pdf_attachments(files).collect()] == [xml.decode()]
-
-
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "=1+1", -5), (2, 'a "b", c', None), (3, None, 7)], "id int, text string, n int")
     sinks.write_csv(df, str(tmp_path / "x.csv"), ["id", "text", "n"], ["id"])

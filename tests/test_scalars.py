@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import folding, fuzzy
+from ledgerlens.functions import fuzzy
 from ledgerlens.functions import scalars as S
 
 
@@ -85,14 +85,9 @@ ODD = "aAéÉßİıſﬁ½№ﷲﻣﻜﺔأإآاىيةه\u0654\u064e\u0301\u032
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.one_of(st.text(ODD, max_size=12), st.text(max_size=12)), min_size=1, max_size=60))
 def test_forms_in_the_jvm_are_the_definition(spark, texts):
-    """Texts with several marks on a letter, or Hangul jamo, are the stated exceptions."""
-    import unicodedata
-
-    marks = lambda t: any(unicodedata.combining(a) and unicodedata.combining(b) for a, b in zip(unicodedata.normalize("NFKD", t), unicodedata.normalize("NFKD", t)[1:]))
-    texts = [t for t in texts if "\0" not in t and not marks(t) and not any(0x1100 <= ord(c) < 0x1200 or 0xD800 <= ord(c) < 0xE000 for c in t)]
-    known = [t for t in texts if not any(ord(c) >= 0x10000 and not any(ord(c) in r for r in folding._ASTRAL) and unicodedata.normalize("NFKC", c).casefold() != c for c in t)]
-    assert one(spark, [(t,) for t in known], "c string", S.canonical(F.col("c"))) == [fuzzy.canonical(t) for t in known]
-    assert one(spark, [(t,) for t in known], "c string", S.match_form(F.col("c"))) == [fuzzy.matchable(t) for t in known]
+    texts = [t for t in texts if "\0" not in t and not any(0xD800 <= ord(c) < 0xE000 for c in t)] + [None, "e\u0323\u0301", "\u1112\u1161\u11ab"]
+    assert one(spark, [(t,) for t in texts], "c string", S.canonical(F.col("c"))) == [fuzzy.canonical(t) for t in texts]
+    assert one(spark, [(t,) for t in texts], "c string", S.match_form(F.col("c"))) == [fuzzy.matchable(t) for t in texts]
 
 
 def test_amounts(spark):
