@@ -67,7 +67,9 @@ def _form(c: Column, match: bool) -> Column:
     if match:
         full = _icu("lang.UCharacter", "foldCase", F.translate(full, *_translation(_LETTERS)))
     plain = F.trim(F.regexp_replace(F.lower(c) if match else c, r"[ \t\n\x0B\f\r]+", " "))
-    return F.when(~c.rlike(r"[^\x09-\x0D\x20-\x7E]"), plain).when(c.isNotNull(), full)
+    # Most values are one plain word, and most texts plain: one test settles each.
+    word = F.when(~c.rlike(r"[^\x21-\x7E]"), F.lower(c) if match else c)
+    return word.when(~c.rlike(r"[^\x09-\x0D\x20-\x7E]"), plain).when(c.isNotNull(), full)
 
 
 def canonical(c: Column) -> Column:

@@ -270,6 +270,10 @@ def parse_amount(c: Column) -> Column:
     From the first digit on, digits, points and commas are read as groups between commas. A
     group belongs to the number as long as it has exactly three digits before its point or end.
     """
+    return F.when(c.rlike(r"^-?[0-9]+([.][0-9]+)?$"), c.try_cast(MONEY)).otherwise(_read_amount(c))
+
+
+def _read_amount(c: Column) -> Column:
     text = F.translate(canonical(c), "٫٬", ".")
     lead = F.regexp_extract(text, r"^[^0-9]*", 0)
     groups = F.split(F.regexp_extract(text, r"[0-9][0-9.,]*", 0), ",")
@@ -306,6 +310,11 @@ def date_readings(c: Column) -> Column:
     order, year; else day, month name, year; else month name, day, year. A name that is no
     month leaves its shape without a date.
     """
+    iso = F.filter(F.array(F.try_to_date(c, "yyyy-M-d")), lambda d: d.isNotNull())
+    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), iso).otherwise(_read_dates(c))
+
+
+def _read_dates(c: Column) -> Column:
     text = F.lower(canonical(c))
     gaps, runs = (F.regexp_extract_all(text, F.lit("([^0-9a-z]*)([0-9]+|[a-z]+)"), i) for i in (1, 2))
     month_of = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS, 1) for name in names.split() for x in (name, i)])

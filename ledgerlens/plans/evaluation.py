@@ -48,19 +48,22 @@ def sc_eval_code(customer):
     return customer.select("c_custkey", S.eval_code(F.col("c_name")).alias("code"))
 
 
-def matches(field: Column, predicted: Column, acceptable: Column) -> Column:
-    """Exact after normalization by the field's kind, against any acceptable answer (an array)."""
-    amount = S.parse_amount(predicted)
-    by_amount = F.exists(acceptable, lambda a: amount == S.parse_amount(a))
-    by_date = F.exists(acceptable, lambda a: F.arrays_overlap(S.date_readings(predicted), S.date_readings(a)))
+def same_answer(field: Column, predicted: Column, answer: Column) -> Column:
+    """Exact after normalization by the field's kind; a blank value never is."""
+    by_amount = S.parse_amount(predicted) == S.parse_amount(answer)
+    by_date = F.arrays_overlap(S.date_readings(predicted), S.date_readings(answer))
     code = S.eval_code(predicted)
-    by_code = (code != "") & F.exists(acceptable, lambda a: code == S.eval_code(a))
     name = S.eval_name(S.match_form(predicted))
-    by_name = (name != "") & F.exists(acceptable, lambda a: name == S.eval_name(S.match_form(a)))
+    by_code, by_name = (code != "") & (code == S.eval_code(answer)), (name != "") & (name == S.eval_name(S.match_form(answer)))
     kind = F.when(field.isin(*AMOUNT_FIELDS), by_amount).when(field.isin(*DATE_FIELDS), by_date).when(field.isin(*CODE_FIELDS), by_code).otherwise(by_name)
     return F.coalesce((F.trim(predicted) != "") & kind, F.lit(False))
 
 
+def matches(field: Column, predicted: Column, acceptable: Column) -> Column:
+    """Whether the value is the same as any acceptable answer (an array)."""
+    return F.coalesce(F.exists(acceptable, lambda a: same_answer(field, predicted, a)), F.lit(False))
+
+
 _MATCH_SQL = """CASE WHEN got IS NULL OR trim(got) = '' THEN false
   WHEN field_key IN ('subtotal', 'vat_amount', 'total_amount') THEN coalesce(TRY_CAST(got AS DECIMAL(38,10)) = TRY_CAST(expected AS DECIMAL(38,10)), false)
   WHEN field_key = 'issue_date' THEN coalesce(length(got) = 10 AND got = expected, false)
@@ -71,7 +74,7 @@ _MATCH_SQL = """CASE WHEN got IS NULL OR trim(got) = '' THEN false
 @op("sc_matches", "readings", oracle=f"SELECT annotation_id, field_key, {_MATCH_SQL} AS correct FROM {{readings}} WHERE expected IS NOT NULL")
 def sc_matches(readings):
     rows = readings.where("expected IS NOT NULL")
-    return rows.select("annotation_id", "field_key", matches(F.col("field_key"), F.col("got"), F.array("expected")).alias("correct"))
+    return rows.select("annotation_id", "field_key", same_answer(F.col("field_key"), F.col("got"), F.col("expected")).alias("correct"))
 
 
 @op("sc_score_field", "readings", oracle=f"SELECT annotation_id, field_key, CASE WHEN got IS NULL OR trim(got) = '' THEN 'missing' WHEN {_MATCH_SQL} THEN 'correct' ELSE 'wrong' END AS status, flagged FROM {{readings}} WHERE expected IS NOT NULL")
@@ -81,7 +84,7 @@ def sc_score_field(readings):
 
 def scored(rows: DataFrame) -> DataFrame:
     missing = F.col("got").isNull() | (F.trim("got") == "")
-    right = matches(F.col("field_key"), F.col("got"), F.array("expected"))
+    right = same_answer(F.col("field_key"), F.col("got"), F.col("expected"))
     return rows.withColumn("status", F.when(missing, "missing").when(right, "correct").otherwise("wrong"))
 
 
@@ -116,7 +119,7 @@ def classify_error(field: Column, predicted: Column, truth: Column, other: Colum
     ``other`` is the answer of another question of the same document.
     """
     amount, date, code = field.isin(*AMOUNT_FIELDS), field.isin(*DATE_FIELDS), field.isin(*CODE_FIELDS)
-    equal = lambda a, b: matches(field, a, F.array(b))
+    equal = lambda a, b: same_answer(field, a, b)
     style = (amount & (S.parse_amount(truth).isNull() | ((S.digits(predicted) != "") & (S.digits(predicted) == S.digits(truth))))) | (date & (F.size(S.date_readings(truth)) == 0))
     two = lambda c: S.money_text(S.parse_amount(c))
     near = (

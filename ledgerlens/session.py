@@ -22,6 +22,8 @@ def get_session(app: str = "ledgerlens", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Rows here are short and their work is long: merging partitions up to the default 1 MB leaves one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64kb")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()

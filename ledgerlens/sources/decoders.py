@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
+from ledgerlens.session import arrow_pass
 from ledgerlens.sources.pdf import MalformedPdf, embedded_xml
 
 _PARTY = "struct<Party:struct<PartyLegalEntity:struct<RegistrationName:string>,PartyTaxScheme:struct<CompanyID:string>,PostalAddress:struct<StreetName:string,BuildingNumber:string,CityName:string,PostalZone:string,Country:struct<IdentificationCode:string>>>>"
@@ -135,8 +136,9 @@ def pdf_attachments(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a file at a time
-                xml, malformed = found(batch.column("content")[i].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([xml], pa.string()), pa.array([malformed])], names=["path", "xml", "malformed"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                xml, malformed = zip(*(found(c.as_py()) for c in part.column("content")), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(xml, pa.string()), pa.array(malformed)], names=["path", "xml", "malformed"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, xml string, malformed boolean")
+    return arrow_pass(files.select("path", "content"), run, "path string, xml string, malformed boolean")

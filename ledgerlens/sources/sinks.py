@@ -8,12 +8,13 @@ from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
+from ledgerlens.session import arrow_pass
 
 BOM = "﻿"
 
@@ -59,7 +60,7 @@ def _cell(value) -> str:
 
 def _write_workbook(target, sheets: dict[str, tuple[list[str], Iterable]]) -> None:
     main = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         n = len(sheets)
         z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, n + 1)) + "</Types>")
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{main}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -82,15 +83,42 @@ def workbooks(rows: DataFrame, key: str, sheet: str, order: str, columns: list[s
     """``key``, content: a workbook per key, made where its rows are; ``sheet`` names each row's sheet."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def book(part: pd.DataFrame) -> pd.DataFrame:
-        own = part.sort_values(order)
-        cells = own[columns].astype(object).where(own[columns].notna(), None)
-        held = {name: (columns, cells[own[sheet] == name].itertuples(index=False)) for name in dict.fromkeys(own[sheet])}
+    def book(own: list[tuple]) -> bytes:
+        sheets: dict[str, tuple[list[str], list]] = {}
+        for name, cells in own:
+            sheets.setdefault(name, (columns, []))[1].append(cells)
         target = io.BytesIO()
-        _write_workbook(target, held)
-        return pd.DataFrame({key: [part[key].iloc[0]], "content": [target.getvalue()]})
-
-    return rows.select(key, sheet, order, *columns).groupBy(key).applyInPandas(book, f"{key} {kind}, content binary")
+        _write_workbook(target, sheets)
+        return target.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        keys, done = [], []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(done, pa.binary())], names=[key, "content"])
+            keys.clear()
+            done.clear()
+            return out
+
+        for batch in batches:
+            for own, name, *cells in zip(*(batch.column(c).to_pylist() for c in (key, sheet, *columns)), strict=True):
+                if held and own != last:
+                    keys.append(last)
+                    done.append(book(held))
+                    held = []
+                held.append((name, cells))
+                last = own
+            if done:
+                yield flush()
+        if held:
+            keys.append(last)
+            done.append(book(held))
+            yield flush()
+
+    dealt = rows.select(key, sheet, order, *columns).repartition(key).sortWithinPartitions(key, order)
+    return arrow_pass(dealt, run, f"{key} {kind}, content binary")
 
 
 def workbook_cells(books: DataFrame, key: str) -> DataFrame:
@@ -98,18 +126,22 @@ def workbook_cells(books: DataFrame, key: str) -> DataFrame:
     kind = books.schema[key].dataType.simpleString()
     ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for own, content in zip(b[key], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
-                    for i, name in enumerate(names, 1):
-                        for row, cells in enumerate(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{ns}row")):
-                            found += [(own, name, row, at, "".join(c.itertext())) for at, c in enumerate(cells) if len(c)]
-            yield pd.DataFrame(found, columns=[key, "sheet", "row", "column", "value"])
-
-    return books.select(key, "content").mapInPandas(run, f"{key} {kind}, sheet string, row int, column int, value string")
+    def cells_of(own, content: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
+            for i, name in enumerate(names, 1):
+                for row, cells in enumerate(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{ns}row")):
+                    yield from ((own, name, row, at, "".join(c.itertext())) for at, c in enumerate(cells) if len(c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c for own, content in zip(*(batch.column(c).to_pylist() for c in (key, "content")), strict=True) for c in cells_of(own, content)]
+            if found:
+                own, *rest = zip(*found, strict=True)
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(own, batch.column(key).type), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], names=[key, "sheet", "row", "column", "value"])
+
+    return arrow_pass(books.select(key, "content"), run, f"{key} {kind}, sheet string, row int, column int, value string")
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
