@@ -8,7 +8,9 @@ to right, and goes on until no word has a known pair. Known words come from a
 bounded per-worker cache (emptied when full, never a cap on what is encoded).
 
 Edge cases: a null or empty text has no ids and decodes to the empty text;
-added special tokens in a text become their own id; any Unicode text encodes.
+added special tokens in a text become their own id; any Unicode text encodes, whole at
+any length. Repeated rows are encoded each, a null doc_id is kept. An empty table gives
+an empty result. Other columns are ignored. Of equal ranks in a word the leftmost pair merges first.
 """
 
 from __future__ import annotations
