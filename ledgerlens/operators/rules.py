@@ -247,9 +247,9 @@ def printed_on_page() -> Column:
     def needle(key: Column) -> Column:
         entry = F.try_element_at("fields", key)
         exempt = F.coalesce(entry["source"].isin("ubl_xml", "human", "computed", "qr"), F.lit(True))
-        return F.when(~exempt, F.nullif(S.match_form(entry["value"]), F.lit("")))
+        return F.struct(key.alias("key"), entry["value"].alias("value"), F.when(~exempt, F.nullif(S.match_form(entry["value"]), F.lit(""))).alias("own"))
 
-    keys = F.filter(F.array_sort("numeric_keys"), lambda k: needle(k).isNotNull())
+    needles = F.filter(F.transform(F.array_sort("numeric_keys"), needle), lambda x: x["own"].isNotNull())
 
     def printed(own: Column) -> Column:
         # Cheap tests first: the text, its digits; the page's numbers are parsed only for what is left.
@@ -257,11 +257,11 @@ def printed_on_page() -> Column:
         same_number = F.coalesce(number.isNotNull() & F.array_contains(S.numbers_in(hay), number), F.lit(False))
         return F.when(hay.contains(own), True).when((S.digits(own) != "") & hay_digits.contains(S.digits(own)), True).otherwise(same_number)
 
-    def judge(key: Column) -> Column:
-        return F.when(~S.let(needle(key), printed), _finding("OCR_SUBSTRING_MISSING", key, value=F.try_element_at("fields", key)["value"], key=key))
+    def judge(x: Column) -> Column:
+        return F.when(~printed(x["own"]), _finding("OCR_SUBSTRING_MISSING", x["key"], value=x["value"], key=x["key"]))
 
     has_text = F.trim(F.coalesce("page_text", F.lit(""))) != ""
-    return S.let(keys, lambda k: _result(has_text & (F.size(k) > 0), F.transform(k, judge)))
+    return S.let(needles, lambda n: _result(has_text & (F.size(n) > 0), F.transform(n, judge)))
 
 
 @rule("ARABIC_ENCODING_SUSPECT")
