@@ -38,11 +38,13 @@ def _folded(text: str, marks: bool = True) -> str:
 
 def canonical_text(text: str | None, marks: bool = True) -> str | None:
     """NFKC, invisible characters out, dashes, spaces and digits folded, white space single."""
+    if text is not None and text.isascii():  # nothing to compose or fold
+        return " ".join(text.split())
     return None if text is None else re.sub(r"\s+", " ", _folded(text, marks)).strip()
 
 
 def _matched(text: str) -> str:
-    return text.translate(_LETTERS).casefold()
+    return text.lower() if text.isascii() else text.translate(_LETTERS).casefold()
 
 
 def match_text(text: str | None) -> str | None:
