@@ -72,6 +72,14 @@ def test_canonical(text, want):
     assert fuzzy.canonical(text) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=30))
+def test_plain_text_is_folded_like_any_other(text):
+    # A mark that folds away takes the general way.
+    assert fuzzy.canonical(text) == fuzzy.canonical(text + "\u200b")
+    assert fuzzy.matchable(text) == fuzzy.matchable(text + "\u200b")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=30))
 def test_canonical_is_idempotent(text):
