@@ -235,7 +235,8 @@ def ground(values: DataFrame, words: DataFrame, cutoff: float = 85.0) -> DataFra
     """Each value's best matching window of words: doc_id, value, score, pos, n and its box.
 
     ``values``: doc_id, value. ``words``: doc_id, pos, word, x0, x1. Windows hold one
-    to min(words of the value + 2, 8) words; the first of the best wins. A document
+    to min(words of the value + 2, 8) words; the first of the best wins. A word that
+    holds white space is as long as its parts and gives way to single words. A document
     is one group, so its words are grouped once and never joined with all windows.
     """
     per = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "x0", "x1"))).alias("ws"))
@@ -253,7 +254,7 @@ def ground(values: DataFrame, words: DataFrame, cutoff: float = 85.0) -> DataFra
                 for w in words_of:
                     if w not in forms:
                         forms[w] = fuzzy.matchable(w) or ""
-                score, at, n = fuzzy.best_window(value.as_py(), [forms[w] for w in words_of])
+                score, at, n = fuzzy.best_window(value.as_py(), [forms[w] for w in words_of], split=True)
                 if at is None or score < cutoff:
                     found.append((score, None, None, None, None))
                 else:

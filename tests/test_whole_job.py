@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy
@@ -52,6 +53,18 @@ def test_grounding_compares_all_windows(spark, tmp_path):
     assert ground(spark.createDataFrame([], "doc_id long, value string"), spark.createDataFrame([], "doc_id long, pos int, word string, x0 int, x1 int")).collect() == []
 
 
+def test_words_with_line_breaks_are_no_shorter_windows(spark, tmp_path):
+    texts = ["And erwher the. The end of it The.\nThe", "the.\nThe end the. The end of", "x the.\nThe the. The end of", "a b it. It x it.\nIt it. It"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sf = put(spark, tmp_path, documents=docs)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    want = sorted((i, at) for i, _, _, at in con.sql(ORACLES["sc_ground"]).fetchall())
+    assert sorted((r.doc_id, r.pos) for r in QUERIES["sc_ground"](spark, sf).collect()) == want == [(0, 2), (1, 2), (2, 2), (3, 2)]
+    assert fuzzy.best_window("c d", ["c d", "", "c", "d"], split=True) == (100.0, 2, 2)
+    assert fuzzy.best_window("c d", ["x", "", "c d"], split=True) == (100.0, 2, 1)
+
+
 def test_every_id_is_asked_for(spark):
     rows = [(3999, "confirmed"), (4001, "confirmed"), (28007, "rejected")]
     got = st_missing_offenders(spark.createDataFrame(rows, "id long, status string")).collect()
