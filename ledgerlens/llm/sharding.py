@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.session import materialize
-
 #: Multiplier of the published algorithm's linear congruential generator.
 LCG = 2862933555777941757
 #: Multiplier of the hash that orders a shard (another published generator's).
@@ -101,7 +99,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rows_per_chunk: int = R
     number, and slots count from 0 in that order without a gap. No shard is numbered in one
     task: ranges of places make chunks of about ``rows_per_chunk``, a chunk is numbered
     alone and starts where the earlier chunks of its shard end. Repeated rows are
-    counted before they meet. The table of chunk counts has rows / rows_per_chunk rows.
+    counted before they meet. The table of chunk counts has rows / rows_per_chunk rows; it
+    and their number need the ids alone, so nothing is written in between.
     Texts are scanned once and never shuffled.
     """
     seen = (
@@ -113,19 +112,22 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rows_per_chunk: int = R
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    rows = materialize(seen.withColumn("j", jump_shards(F.col("doc_id"), n_shards)).withColumn("place", place(F.col("doc_id"))), "sharded")
-    total = rows.agg(F.sum("copies")).first()[0] or 0
-    chunks = max(1, -(-total // (rows_per_chunk * n_shards)))
-    chunk = F.shiftright(F.col("place") * F.lit(chunks), 32).cast("int")
-    placed = rows.select("doc_id", "size", "text_crc32", "copies", "place", F.col("j.shard").alias("shard"), F.col("j.grown").alias("grown_shard"), chunk.alias("chunk"))
+    chunks = max(1, -(-docs.count() // (rows_per_chunk * n_shards)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("j", jump_shards(F.col("doc_id"), n_shards)).withColumn("place", place(F.col("doc_id")))
+        chunk = F.shiftright(F.col("place") * F.lit(chunks), 32).cast("int")
+        return rows.select("*", F.col("j.shard").alias("shard"), F.col("j.grown").alias("grown_shard"), chunk.alias("chunk")).drop("j")
 
-    counts = placed.groupBy("shard", "chunk").agg(F.sum("copies").alias("rows"))
+    counts = placed(docs.select("doc_id")).groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("rows"))
     earlier = W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "chunk", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+    offsets = counts.select(F.col("shard").alias("of_shard"), F.col("chunk").alias("of_chunk"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
     order = [F.asc_nulls_last(c) for c in ("place", "doc_id", "text_crc32", "size")]
     within = W.partitionBy("shard", "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     first = F.coalesce(F.sum("copies").over(within), F.lit(0))
-    numbered = placed.withColumn("first", first).join(offsets, ["shard", "chunk"])
+    # Neither is ever null; with a plain equality Spark would compute both once more, where it scans, to filter nulls.
+    same = F.col("shard").eqNullSafe(F.col("of_shard")) & F.col("chunk").eqNullSafe(F.col("of_chunk"))
+    numbered = placed(seen).withColumn("first", first).join(offsets, same)
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     slots = numbered.select("doc_id", "size", "text_crc32", "shard", "grown_shard", (F.col("offset") + F.col("first")).alias("start"), at.alias("at"))
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard")

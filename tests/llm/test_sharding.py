@@ -60,6 +60,13 @@ def test_native_plan(odd_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_writes_no_table_in_between(spark, odd_docs, tmp_path, monkeypatch):
+    """Chunk counts need the ids alone, so executors make no files but the result's."""
+    monkeypatch.setattr("ledgerlens.session.shared_root", lambda _: f"file://{tmp_path}")
+    assert len(shard_documents(odd_docs, 16, 2).collect()) == odd_docs.count()
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_oracles_agree(spark, sf_dir):
     """The queries that SQL can express equal DuckDB's answer."""
     import duckdb
