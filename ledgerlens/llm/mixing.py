@@ -179,10 +179,9 @@ def _place(rows: DataFrame, dealt: DataFrame) -> DataFrame:
     return joined.withColumn("placements", copies)
 
 
-def _plan_of(docs: DataFrame, shards: int, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
-    """The documents' sizes and keys (without texts), and the plan of their blocks."""
-    narrow = materialize(_read(docs, word_count(F.col("text")).alias("size")), "sized")
-    return narrow, plan_mix(narrow, shards, weights)
+def _sized(docs: DataFrame) -> DataFrame:
+    """The documents' sizes and keys, without texts."""
+    return _read(docs, word_count(F.col("text")).alias("size"))
 
 
 def mix_documents(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -190,7 +189,8 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, .
 
     ``placements`` holds one entry per copy; ``key`` orders a shard's documents.
     """
-    placed = _place(*_plan_of(docs, shards, weights))
+    narrow = materialize(_sized(docs), "sized")
+    placed = _place(narrow, plan_mix(narrow, shards, weights))
     return placed.select("doc_id", "size", "source_size", "target", F.size("placements").alias("copies"), "placements")
 
 
@@ -208,7 +208,9 @@ def mixed(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WE
     names = docs.columns
     packed = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in names]).alias("__row"))
     # Texts are read again and placed by their keys, so that planning moves none of them.
-    placed = _place(_read(packed, "__row"), _plan_of(docs, shards, weights)[1])
+    # Planning alone reads the sizes here: a few files by their volume, not one for each task that scans texts.
+    narrow = materialize(_sized(docs).hint("rebalance"), "sized")
+    placed = _place(_read(packed, "__row"), plan_mix(narrow, shards, weights))
     copies = placed.select(F.explode("placements").alias("__copy"), "__row")
     shard, key, parts = F.col("__copy.shard"), F.col("__copy.key"), shard_parts(docs.sparkSession, shards)
     part = F.shiftright((F.shiftright(key, 40) + (1 << 23)) * parts, 24).cast("int")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import mixing
 from ledgerlens.llm.queries import QUERIES
-from ledgerlens.session import table
+from ledgerlens.session import materialize, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +89,18 @@ def test_mix_is_written_by_shard_and_key(spark, tmp_path):
             at = int(path.name.split("-")[1])
             got += [(at // parts, r.doc_id) for r in spark.read.parquet(str(path)).coalesce(1).collect()]
         assert got == [(shard, doc) for shard, _, doc in want]
+
+
+def test_sizes_are_written_by_volume(spark, monkeypatch):
+    """However many tasks scan texts, planning a small mix writes a few files, and every document counts."""
+    written = {}
+
+    def noted(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+
+    monkeypatch.setattr(mixing, "materialize", noted)
+    docs = table(spark, SF, "documents").repartition(24)
+    mixing.mixed(docs)
+    assert written["sized"].count() == docs.count()
+    assert {name: n for name, df in written.items() if (n := len(df.inputFiles())) > 8} == {}
